@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import mixing, packing, pii, quality, simhash
+from . import hnsw, htmltext, langid, mixing, packing, pii, quality, simhash, suffixdedup, toxicity
+from .common import crc_mod
 
 #: Key of the registered query's surrogates; a real run passes its own secret.
 DEMO_KEY = b"registered query"
@@ -35,6 +36,26 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_rate", "mix_epoch", "mix_block", "mix_position")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 5) == 0
+    made = langid.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), learn=~held_out)
+    return made.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 3) == 1
+    made = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out)
+    return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +66,10 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("n_entities", F.size("pii_spans").cast("long"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -53,8 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op3_language_id": op3_language_id,
+    "op4_hnsw": op4_hnsw,
+    "op5_html_text": op5_html_text,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_pii_surrogates": op8_pii_surrogates,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
 
