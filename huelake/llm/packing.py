@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,77 +27,134 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
 #: Words that a worker remembers the ids of; beyond that it starts afresh.
-MEMORY = 700_000
+MEMORY = 1_000_000
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        k = len(self.words)
+        self[word] = k
+        self.words.append(word)
+        return k
 
 
 class WordTokenizer:
     """Ids of a tokenizer whose pieces never cross spaces or line ends, with a memory of words.
 
-    A trailing full stop or comma after a letter is a piece of its own, so the word before
-    it is looked up without it.
+    A word is numbered when met and its ids are found once. Words of Latin letters go
+    straight to the vocabulary's merges, past the normaliser, which only lowers them; a
+    trailing full stop or comma after a letter is a piece of its own. Anything else goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.merges = self.encoder.model
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.tails = {c: self.encoder.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.memory = memory
         self._reset()
 
     def _reset(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Numbers()
+        self.known = 0
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
         self.starts = np.zeros(1 << 18, dtype=np.int64)
         self.lens = np.zeros(1 << 18, dtype=np.int64)
         self.used = 0
 
-    def _put(self, word: str, ids) -> None:
-        k, n = len(self.at), len(ids)
-        if k == len(self.starts):
-            self.starts, self.lens = np.resize(self.starts, 2 * k), np.resize(self.lens, 2 * k)
-        while self.used + n > len(self.ids):
+    def _letters(self, word: str) -> list[int] | None:
+        """Ids of a lower-case word of Latin letters; None for other words."""
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) > "\xff":
+                return None
+            word = word.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.merges.tokenize(word)]
+
+    def _learn(self) -> None:
+        words = self.at.words
+        parts: list[tuple[int, str] | None] = []  # (number of the bare word, tail) of words that have one
+        k = self.known
+        while k < len(words):  # bare words join the end of the list
+            word = words[k]
+            tail = word[-1:] if len(word) > 1 and word[-1] in self.tails and word[-2].isalpha() else ""
+            bare = word[: len(word) - len(tail)]
+            bare = bare.lower() if bare.isalpha() and max(bare) <= "\xff" else bare
+            parts.append((self.at[bare], tail) if bare != word else None)
+            k += 1
+        made = [self._letters(w) if p is None else None for w, p in zip(words[self.known :], parts)]
+        odd = [i for i, (ids, p) in enumerate(zip(made, parts)) if ids is None and p is None]
+        for i in range(0, len(odd), 4096):
+            some = [words[self.known + j] for j in odd[i : i + 4096]]
+            for j, x in zip(odd[i : i + 4096], self.encoder.encode_batch_fast(some, add_special_tokens=False)):
+                made[j] = x.ids
+        first = self.known
+        for i, p in enumerate(parts):
+            if p is not None:
+                b, tail = p
+                bare = made[b - first] if b >= first else self.ids[self.starts[b] : self.starts[b] + self.lens[b]].tolist()
+                made[i] = bare + self.tails[tail] if tail else bare
+        n = len(made)
+        lens = np.fromiter(map(len, made), dtype=np.int64, count=n)
+        while first + n > len(self.starts):
+            self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
+        total = int(lens.sum())
+        while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + n] = ids
-        self.starts[k], self.lens[k] = self.used, n
-        self.used += n
-        self.at[word] = k
-
-    def _get(self, word: str) -> np.ndarray:
-        k = self.at[word]
-        return self.ids[self.starts[k] : self.starts[k] + self.lens[k]]
-
-    def _learn(self, words: set[str]) -> None:
-        split = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
-        plain = [w for w in {x for pair in split.values() for x in pair} | (words - split.keys()) if w not in self.at]
-        for i in range(0, len(plain), 8192):
-            some = plain[i : i + 8192]
-            for word, made in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False)):
-                self._put(word, made.ids)
-        for word, (head, tail) in split.items():
-            self._put(word, np.concatenate((self._get(head), self._get(tail))))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=total)
+        self.starts[first : first + n], self.lens[first : first + n] = self.used + np.cumsum(lens) - lens, lens
+        self.used += total
+        self.known = first + n
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text, with the closing id."""
         if len(self.at) > self.memory:
             self._reset()
-        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new: set[str] = set()
-        for words in parts:
-            new.update(words)
-        self._learn(new.difference(self.at))
+        number = self.at.__getitem__
+        numbered = []
+        for text in texts:
+            words = text.replace("\n", " ").split(" ") if text else []
+            numbered.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
+        if self.known < len(self.at):
+            self._learn()
         out = []
-        for words in parts:
-            k = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
+        for k in numbered:
             lens = self.lens[k]
-            total = int(lens.sum())
+            ends = np.cumsum(lens)
+            total = int(ends[-1]) if len(ends) else 0
             made = np.empty(total + 1, dtype=np.uint32)
-            shift = np.repeat(self.starts[k] - (np.cumsum(lens) - lens), lens)
-            made[:total] = self.ids[shift + np.arange(total)]
+            made[:total] = self.ids[np.repeat(self.starts[k] - (ends - lens), lens) + np.arange(total)]
             made[total] = END_ID
             out.append(made)
         return out
 
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """This process's tokenizer: later tasks of a worker find its memory filled."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def cost(n, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY):
     return linear * n + quadratic * n * n
 
@@ -154,7 +212,7 @@ def _packed(path: str, capacity: int, group_tokens: int):
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(path)
+        encoder = shared_tokenizer(path)
         next_id = TaskContext.get().partitionId() << 40
         ids: list[np.ndarray] = []
         docs: list = []
