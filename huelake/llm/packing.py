@@ -93,7 +93,7 @@ class WordTokenizer:
         k = self.known
         while k < len(words):  # bare words join the end of the list
             word = words[k]
-            tail = word[-1:] if len(word) > 1 and word[-1] in self.tails and word[-2].isalpha() else ""
+            tail = word[-1:] if len(word) > 1 and word[-1] in self.tails and word[-2].isalpha() and word[-2] <= "\xff" else ""
             bare = word[: len(word) - len(tail)]
             bare = bare.lower() if bare.isalpha() and max(bare) <= "\xff" else bare
             parts.append((self.at[bare], tail) if bare != word else None)
