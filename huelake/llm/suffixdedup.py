@@ -3,8 +3,10 @@
 Every string of `length` bytes has an anchor: the 16 bytes of smallest hash in it. Equal
 strings have equal anchors, so only places of one anchor can match. Neighbouring strings
 of one anchor are held together as a stretch. 1) Stretches go to shards by anchor as
-hashes only, in packed arrays; a stretch whose hash an earlier document holds is covered,
-and those whose anchor is shared but whose bytes differ are asked for. 2) The asked
+hashes only, in packed arrays; a stretch whose hash an earlier document holds is covered.
+Two places of one anchor can only share a string if they also share the 17 bytes before
+the anchor or the 17 after it, so those that share either with another document, but
+differ in bytes, are asked for. 2) The asked
 stretches go to shards as bytes. In each, the stretches of an anchor are halved by
 document again and again; the earlier halves make a run-length index and the later ones
 are streamed against it, and a matching statistic of `length` or more marks a string.
@@ -39,7 +41,11 @@ ANCHOR = 16
 CHUNK = 1 << 21
 PART_BYTES = 1 << 24
 COVERED, ASKED = 0, 1
-ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
+#: Bytes beside the anchor on the one side or the other that every string holds.
+SIDE = (LENGTH - ANCHOR) // 2
+#: Bytes that one index is made of at a time, where anchors allow.
+INDEX_BYTES = 1 << 21
+ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 MARK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -70,13 +76,14 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, more, key, hash) of the stretches in `data`, which holds pieces that begin at `first`.
+def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(start, more, key, hash, left, right) of the stretches in `data`, which holds pieces that begin at `first`.
 
-    A stretch is the strings that start in [start, start + more] and share their anchor.
+    A stretch is the strings that start in [start, start + more] and share their anchor. left and
+    right are hashes of the SIDE bytes beside it with 24 bits, or zero where the stretch has fewer.
     """
     if len(data) < length:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
     with np.errstate(over="ignore"):
         eight = _eights(data)
         mixed = _mix(eight * _A)
@@ -102,8 +109,20 @@ def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor:
         back = np.cumprod(np.full(len(mixed) + 1, inverse, dtype=np.uint64))
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mixed * power[: len(mixed)])))
         hashed = _mix((sums[stop + length - 7] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
+        spot = place[head]
+        top = len(mixed) - 1
+
+        def beside(at: np.ndarray, valid: np.ndarray) -> np.ndarray:
+            """Hash of the SIDE bytes from `at`, of overlapping eights."""
+            made = key[spot]
+            for shift in (*range(0, SIDE - 7, 8), SIDE - 8):
+                made = _mix(made + mixed[np.clip(at + shift, 0, top)] * _C)
+            return np.where(valid, (made >> np.uint64(40)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+
+        left = beside(spot - SIDE, spot - SIDE >= start)
+        right = beside(spot + anchor, spot + anchor + SIDE <= stop + length)
     cut = np.uint64(16)  # 48 bits each of anchor and bytes go on, compared together
-    return start, stop - start, key[place[head]] >> cut, hashed >> cut
+    return start, stop - start, key[spot] >> cut, hashed >> cut, left, right
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -127,22 +146,33 @@ def _entries(ids: list[int], texts: list[bytes]) -> np.ndarray:
     for group in _pieces(texts):
         sizes = np.array([len(p) for _, _, p in group])
         first = np.cumsum(sizes) - sizes
-        start, more, key, hashed = stretches(np.frombuffer(b"".join(p for _, _, p in group), dtype=np.uint8), first)
+        start, more, key, hashed, left, right = stretches(np.frombuffer(b"".join(p for _, _, p in group), dtype=np.uint8), first)
         owner = np.searchsorted(first, start, side="right") - 1
         made = np.zeros(len(start), dtype=ENTRY)
-        made["key"], made["hash"], made["more"] = key, hashed, more
+        made["key"], made["hash"], made["more"], made["left"], made["right"] = key, hashed, more, left, right
         made["doc"] = np.array([ids[i] for i, _, _ in group], dtype=np.int64)[owner]
         made["start"] = start - first[owner] + np.array([o for _, o, _ in group], dtype=np.int64)[owner]
         parts.append(made)
     return np.concatenate(parts)
 
 
-def earlier_twin(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries sorted by stretch and document; which of them an earlier document holds too; the stretch of each."""
+def shared(entries: np.ndarray, side: str) -> np.ndarray:
+    """Which entries have the same bytes on a side of their anchor as one of another document."""
+    order = np.lexsort((entries["doc"], entries[side], entries["key"]))
+    key, part, doc = entries["key"][order], entries[side][order], entries["doc"][order]
+    heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+    sizes = np.diff(np.append(heads, len(order)))
+    out = np.empty(len(order), dtype=bool)
+    out[order] = np.repeat(doc[heads] < doc[heads + sizes - 1], sizes) & (part > 0)
+    return out
+
+
+def earlier_twin(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries sorted by stretch and document; which of them an earlier document holds too."""
     entries = entries[np.lexsort((entries["doc"], entries["more"], entries["hash"], entries["key"]))]
     new = np.concatenate(([True], (entries["key"][1:] != entries["key"][:-1]) | (entries["hash"][1:] != entries["hash"][:-1]) | (entries["more"][1:] != entries["more"][:-1])))
     group = np.cumsum(new) - 1
-    return entries, entries["doc"] > entries["doc"][np.flatnonzero(new)][group], group
+    return entries, entries["doc"] > entries["doc"][np.flatnonzero(new)][group]
 
 
 def _rows(part: np.ndarray, kind: int, values: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -184,7 +214,7 @@ def _scan(shards: int, blocks: int):
             entries = _entries(batch.column(0).to_pylist(), texts)
             if not len(entries):
                 continue
-            entries, twin, _ = earlier_twin(entries)
+            entries, twin = earlier_twin(entries)
             marks = _marks(entries, twin)
             entries = entries[~twin]
             rows = _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows((entries["key"] % np.uint64(shards)).astype(np.int64), ASKED, entries)
@@ -195,14 +225,10 @@ def _scan(shards: int, blocks: int):
 
 def _compare_hashes(blocks: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        entries, twin, group = earlier_twin(np.concatenate([unpack(b, ENTRY) for b in rows["blob"]]))
-        key = entries["key"]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        of = np.cumsum(new) - 1
-        heads = np.flatnonzero(new)
-        several = np.maximum.reduceat(group, heads) > np.minimum.reduceat(group, heads)  # stretches of an anchor differ
-        docs = np.maximum.reduceat(entries["doc"], heads) > np.minimum.reduceat(entries["doc"], heads)
-        asked = ~twin & (several & docs)[of]
+        entries, twin = earlier_twin(np.concatenate([unpack(b, ENTRY) for b in rows["blob"]]))
+        first = entries[~twin]
+        asked = np.zeros(len(entries), dtype=bool)
+        asked[~twin] = (shared(first, "left") | shared(first, "right"))
         out = []
         for kind, keep in ((COVERED, twin), (ASKED, asked)):
             marks = _marks(entries, keep)
@@ -289,8 +315,19 @@ def _compare_bytes(blocks: int):
         marks = np.concatenate(marks)
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         size = marks["more"].astype(np.int64) + LENGTH
-        found = mark_strings(marks["key"], marks["doc"], size, data)
         start = np.cumsum(size) - size
+        found = np.zeros(len(data), dtype=bool)
+        order = np.argsort(marks["key"], kind="stable")
+        key, at = marks["key"][order], 0
+        filled = np.cumsum(size[order])
+        while at < len(order):  # whole anchors, INDEX_BYTES at a time
+            upto = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + INDEX_BYTES, side="right"))
+            upto = int(np.searchsorted(key, key[min(max(upto, at + 1), len(order)) - 1], side="right"))
+            some = order[at:upto]
+            n = size[some]
+            spots = np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found[spots] = mark_strings(marks["key"][some], marks["doc"][some], n, data[spots])
+            at = upto
         owner = np.repeat(np.arange(len(size)), size)
         hit = np.flatnonzero(found)
         if not len(hit):
