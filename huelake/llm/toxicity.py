@@ -5,7 +5,7 @@ mean of its embeddings, a passage's the sum over its distinct words by its lengt
 softmax over two classes reads it. The bias is set on a part of the sample kept apart. Misspellings share n-grams with what was learnt. A document is scored
 by its most toxic passage of `WINDOW` words, over all passages of the whole text, since
 an average over a long text would drown a few words; training picks each document's
-highest passage likewise, after a start on whole-text averages.
+highest passage likewise, after a start on words drawn from the whole text.
 
 Labels are learnt from a bounded sample (`per_class` rows a class, texts up to
 `max_chars`). After training a word's whole share in the logit is one number, which
@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WORDS = re.compile(r"[^\W_]+")
 WINDOW = 16
+#: Words of a text that training starts from.
+START = 64
 #: Part of the sample that only sets the bias, and the score that it is set for.
 CALIBRATE, AT = 0.2, 0.7
 BUCKETS = 1 << 17
@@ -53,11 +56,14 @@ def subwords(word: str) -> list[int]:
 class Bags:
     """The subwords of many words in flat arrays."""
 
-    def __init__(self, words: list[str]) -> None:
-        lists = [subwords(w) for w in words]
-        self.size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    def __init__(self, words: Iterable[str]) -> None:
+        flat, size = array("i"), array("i")
+        for word in words:
+            before = len(flat)
+            flat.extend(subwords(word))
+            size.append(len(flat) - before)
+        self.flat, self.size = np.frombuffer(flat, dtype=np.int32), np.array(size, dtype=np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.flat = np.fromiter((x for part in lists for x in part), dtype=np.int64, count=int(self.size.sum()))
 
     def take(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of some words, and their sizes."""
@@ -130,19 +136,23 @@ def best_window(shares: np.ndarray, width: int = WINDOW) -> tuple[float, int]:
 def fit(rows: list[tuple[int, str]], *, start_rounds: int = 15, rounds: int = 80, rate: float = 0.05, decay: float = 1e-5, seed: int = 1) -> Model:
     """rows: (label, text). Adam over all rows at once; the passages are chosen anew every fifth round."""
     kept_apart = [(y, t) for y, t in rows if zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % 100 < 100 * CALIBRATE]
-    rows = [(y, words_of(t or "")) for y, t in rows if zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % 100 >= 100 * CALIBRATE]
-    rows = [(y, w) for y, w in rows if w]
-    if len({y for y, _ in rows}) < 2:
+    vocab: dict[str, int] = {}
+    docs, labels = [], []
+    for label, text in rows:
+        if zlib.crc32((text or "").encode("utf-8", "surrogatepass")) % 100 >= 100 * CALIBRATE and (words := words_of(text or "")):
+            docs.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), dtype=np.int32, count=len(words)))
+            labels.append(label)
+    y = np.array(labels)
+    if len(set(labels)) < 2:
         return Model(None, 0.0)
-    vocab = {w: i for i, w in enumerate(sorted({w for _, words in rows for w in words}))}
-    bags = Bags(list(vocab))
-    docs = [np.fromiter(map(vocab.__getitem__, words), dtype=np.int64, count=len(words)) for _, words in rows]
-    y = np.array([label for label, _ in rows])
+    bags = Bags(vocab)
+    del vocab
     weight = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum())) / len(y)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.01, (BUCKETS, DIMS)), rng.normal(0, 1.0, (DIMS, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    chosen, sizes = docs, np.array([len(d) for d in docs])
+    chosen = [rng.choice(d, START, replace=False) if len(d) > START else d for d in docs]
+    sizes = np.array([len(c) for c in chosen])
     for step in range(1, start_rounds + rounds + 1):
         emb, soft, bias = params
         if step > start_rounds and (step - start_rounds) % 5 == 1:
@@ -177,7 +187,7 @@ def fit(rows: list[tuple[int, str]], *, start_rounds: int = 15, rounds: int = 80
     return model
 
 
-def calibration(model: Model, rows: list[tuple[int, str]], clean_counts: float = 2.0) -> float:
+def calibration(model: Model, rows: list[tuple[int, str]], clean_counts: float = 5.0) -> float:
     """The shift of the bias with which a score of AT errs least on rows kept apart."""
     y = np.array([label for label, _ in rows])
     if len(set(y.tolist())) < 2:
