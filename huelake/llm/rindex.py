@@ -11,26 +11,31 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Order of the keys (ties by place), the dense rank of each from 1, and the number of ranks."""
-    order = np.argsort(keys, kind="stable")
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The dense rank of each key from 1, and the number of ranks."""
+    order = np.argsort(keys)
     sorted_ = keys[order]
     rank = np.empty(len(keys), dtype=np.int64)
     rank[order] = np.cumsum(np.concatenate(([1], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
-    return order, rank, int(rank[order[-1]])
+    return rank, int(rank[order[-1]])
 
 
 def suffix_order(text: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Suffixes in order, each read up to its text's end (a zero at end[i]); ties by place. Prefix doubling."""
-    n, have = len(text), 1
-    longest = int((end - np.arange(n)).max()) + 1
-    order, rank, top = _ranks(text)
+    n = len(text)
+    place = np.arange(n)
+    longest = int((end - place).max()) + 1
+    bits = max(1, int(text.max()).bit_length())
+    have = max(1, min(62 // bits, longest))
+    first = np.zeros(n, dtype=np.int64)
+    for k in range(have):  # as many symbols as one number holds
+        first = (first << bits) | np.where(place + k <= end, text[np.minimum(place + k, n - 1)], 0)
+    rank, top = _ranks(first)
     while have < longest and top < n:
-        ahead = np.arange(n) + have
-        second = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)], 0)
-        order, rank, top = _ranks(rank * (top + 1) + second)
+        ahead = place + have
+        rank, top = _ranks(rank * (top + 1) + np.where(ahead <= end, rank[np.minimum(ahead, n - 1)], 0))
         have *= 2
-    return order
+    return np.argsort(rank * n + place)
 
 
 class RunLengthIndex:

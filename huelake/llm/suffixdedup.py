@@ -44,7 +44,7 @@ COVERED, ASKED = 0, 1
 #: Bytes beside the anchor on the one side or the other that every string holds.
 SIDE = (LENGTH - ANCHOR) // 2
 #: Bytes that one index is made of at a time, where anchors allow.
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 20
 ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 MARK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -167,17 +167,24 @@ def shared(entries: np.ndarray, side: str) -> np.ndarray:
     return out
 
 
-def earlier_twin(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries sorted by stretch and document; which of them an earlier document holds too."""
-    entries = entries[np.lexsort((entries["doc"], entries["more"], entries["hash"], entries["key"]))]
-    new = np.concatenate(([True], (entries["key"][1:] != entries["key"][:-1]) | (entries["hash"][1:] != entries["hash"][:-1]) | (entries["more"][1:] != entries["more"][:-1])))
-    group = np.cumsum(new) - 1
-    return entries, entries["doc"] > entries["doc"][np.flatnonzero(new)][group]
+def earlier_twin(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by anchor, stretch and document; which of them an earlier document holds too; which are not alone with their anchor."""
+    entries = entries[np.argsort(entries["key"])]
+    same = entries["key"][1:] == entries["key"][:-1]
+    several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    some = entries[several]
+    some = some[np.lexsort((some["doc"], some["more"], some["hash"], some["key"]))]
+    new = np.ones(len(some), dtype=bool)
+    new[1:] = (some["key"][1:] != some["key"][:-1]) | (some["hash"][1:] != some["hash"][:-1]) | (some["more"][1:] != some["more"][:-1])
+    twin = np.zeros(len(entries), dtype=bool)
+    twin[several] = some["doc"] > some["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    entries[several] = some
+    return entries, twin, several
 
 
 def _rows(part: np.ndarray, kind: int, values: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Records packed by their part's number."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")  # 16 bits: radix
     cuts = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))) if len(part) else []
     return [(int(part[order[a]]), kind, pack(values[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(part)])]
 
@@ -214,7 +221,7 @@ def _scan(shards: int, blocks: int):
             entries = _entries(batch.column(0).to_pylist(), texts)
             if not len(entries):
                 continue
-            entries, twin = earlier_twin(entries)
+            entries, twin, _ = earlier_twin(entries)
             marks = _marks(entries, twin)
             entries = entries[~twin]
             rows = _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows((entries["key"] % np.uint64(shards)).astype(np.int64), ASKED, entries)
@@ -225,10 +232,12 @@ def _scan(shards: int, blocks: int):
 
 def _compare_hashes(blocks: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        entries, twin = earlier_twin(np.concatenate([unpack(b, ENTRY) for b in rows["blob"]]))
-        first = entries[~twin]
+        entries, twin, several = earlier_twin(np.concatenate([unpack(b, ENTRY) for b in rows["blob"]]))
+        several &= ~twin
+        first = entries[several]
         asked = np.zeros(len(entries), dtype=bool)
-        asked[~twin] = (shared(first, "left") | shared(first, "right"))
+        if len(first):
+            asked[several] = shared(first, "left") | shared(first, "right")
         out = []
         for kind, keep in ((COVERED, twin), (ASKED, asked)):
             marks = _marks(entries, keep)
@@ -312,9 +321,16 @@ def _compare_bytes(blocks: int):
             n = int.from_bytes(blob[:8], "little")
             marks.append(unpack(blob[8 : 8 + n], MARK))
             raw.append(zstandard.decompress(blob[8 + n :]))
-        marks = np.concatenate(marks)
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        size = marks["more"].astype(np.int64) + LENGTH
+        every = np.concatenate(marks)
+        sizes = every["more"].astype(np.int64) + LENGTH
+        ends = np.cumsum(sizes)
+        whole = b"".join(raw)
+        numbers: dict[tuple, int] = {}  # equal stretches of one document are compared once
+        copy_of = np.array([numbers.setdefault((k, d, whole[b - n : b]), len(numbers)) for k, d, b, n in zip(every["key"].tolist(), every["doc"].tolist(), ends.tolist(), sizes.tolist())])
+        once = np.unique(copy_of, return_index=True)[1]
+        data = np.frombuffer(b"".join(raw_ for _, _, raw_ in numbers), dtype=np.uint8)
+        marks, size = every[once], sizes[once]
+        del numbers, whole
         start = np.cumsum(size) - size
         found = np.zeros(len(data), dtype=bool)
         order = np.argsort(marks["key"], kind="stable")
@@ -334,8 +350,15 @@ def _compare_bytes(blocks: int):
             return _frame([])
         head = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]))))
         first, last = hit[head], hit[np.append(head[1:], len(hit)) - 1]
-        made = np.zeros(len(first), dtype=MARK)
-        made["doc"], made["start"], made["more"] = marks["doc"][owner[first]], marks["start"][owner[first]] + first - start[owner[first]], last - first
+        # back to every copy: the runs of its stretch
+        owned = owner[first]
+        runs = np.bincount(owned, minlength=len(size))
+        at_run = np.cumsum(runs) - runs
+        times = runs[copy_of]
+        back = np.repeat(np.arange(len(every)), times)
+        run = np.repeat(at_run[copy_of] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        made = np.zeros(len(back), dtype=MARK)
+        made["doc"], made["start"], made["more"] = every["doc"][back], every["start"][back] + first[run] - start[owned[run]], (last - first)[run]
         return _frame(_rows(_block(made["doc"], blocks), COVERED, made))
 
     return run
