@@ -37,8 +37,11 @@ from .rindex import RunLengthIndex
 
 LENGTH = 50
 ANCHOR = 16
-#: Bytes that are hashed at once, and bytes of text in a shard or block.
-CHUNK = 1 << 21
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+#: Bytes of text whose stretches are joined at once.
+PORTION = 1 << 23
+#: Bytes of text in a shard or block.
 PART_BYTES = 1 << 24
 COVERED, ASKED = 0, 1
 #: Bytes beside the anchor on the one side or the other that every string holds.
@@ -212,19 +215,34 @@ def _frame(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["part", "kind", "blob"]).astype({"part": "int64", "kind": "int32"})
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The batch's rows in groups of about PORTION bytes, which bounds a task's arrays."""
+    ids, texts, size = [], [], 0
+    for i in range(batch.num_rows):
+        text = batch.column(1)[i].as_py()
+        ids.append(batch.column(0)[i].as_py())
+        texts.append(text.encode("utf-8", "surrogatepass") if text else b"")
+        size += len(texts[-1])
+        if size >= PORTION:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _scan(shards: int, blocks: int):
     """Shard entries (kind ASKED, part = shard) and marks found at once (kind COVERED, part = block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(1).to_pylist()]
-            entries = _entries(batch.column(0).to_pylist(), texts)
-            if not len(entries):
-                continue
-            entries, twin, _ = earlier_twin(entries)
-            marks = _marks(entries, twin)
-            entries = entries[~twin]
-            rows = _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows((entries["key"] % np.uint64(shards)).astype(np.int64), ASKED, entries)
+            rows: list[tuple[int, int, bytes]] = []
+            for ids, texts in _portions(batch):
+                entries = _entries(ids, texts)
+                if len(entries):
+                    entries, twin, _ = earlier_twin(entries)
+                    marks = _marks(entries, twin)
+                    entries = entries[~twin]
+                    rows += _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows((entries["key"] % np.uint64(shards)).astype(np.int64), ASKED, entries)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
 
     return run
