@@ -128,6 +128,9 @@ def parse(html: str) -> Node:
                 stack[-1].children.append(Node("br", {}))
             elif tag == "p" and not any(s.tag == "p" for s in stack):
                 stack[-1].children.append(Node("p", {}))
+            elif tag in FORMATTING and (at_ := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)) and any(x.tag in BLOCK for x in stack[at_:]):
+                if not any(x.tag in SCOPE for x in stack[at_:]):
+                    del stack[at_]  # the blocks that opened inside stay open
             elif tag not in ("html", "body"):
                 pop_to({tag}, frozenset("td th caption table".split()) - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset({"table"}) - {tag})
     return root

@@ -27,7 +27,7 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
 #: Words that a worker remembers the ids of; beyond that it starts afresh.
-MEMORY = 1_000_000
+MEMORY = 700_000
 
 
 def byte_symbols() -> list[str]:
