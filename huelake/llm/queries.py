@@ -88,6 +88,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+def _quality_oracle() -> str:
+    """Quality rules in DuckDB SQL: measures, host rates, beta priors by moments, verdicts."""
+    word = r"[^\x20\x09-\x0D]"
+    rules = {
+        "a": "n_words < 20", "b": "100 * n_repeat_words > 30 * n_words", "c": "10 * n_symbols > 3 * word_chars", "d": "10 * n_dup_lines > 5 * n_lines",
+    }
+    m = {x: f"least(greatest(cast(s.k_{x} AS DOUBLE) / s.n, 1e-6), 1 - 1e-6)" for x in rules}
+    spread = {x: f"(s.q_{x} - 2 * {m[x]} * s.r_{x} + {m[x]} * {m[x]} - {m[x]} * (1 - {m[x]}) * s.inv)" for x in rules}
+    strength = {x: f"least(greatest({m[x]} * (1 - {m[x]}) / greatest({spread[x]}, 1e-9) - 1, 2.0), 1e4)" for x in rules}
+    rate = [f"round((h.k_{x} + {m[x]} * {strength[x]}) / (h.n + {strength[x]}), 9)" for x in rules]
+    return f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8) t),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) t WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (SELECT range AS k FROM range(0, 8)) k GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) t WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
+d AS (SELECT w.doc_id, w.source, cast(len(ws) AS BIGINT) AS n_words, cast(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, cast(coalesce(l.n_dup, 0) AS BIGINT) AS n_dup_lines,
+  cast(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
+h AS (SELECT source, count(*) AS n, {", ".join(f"sum(CASE WHEN {e} THEN 1 ELSE 0 END) AS k_{x}" for x, e in rules.items())} FROM d WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT sum(n) AS n, avg(1.0 / n) AS inv, {", ".join(f"sum(k_{x}) AS k_{x}, avg(cast(k_{x} AS DOUBLE) / n) AS r_{x}, avg(cast(k_{x} AS DOUBLE) / n * (cast(k_{x} AS DOUBLE) / n)) AS q_{x}" for x in rules)} FROM h),
+v AS (SELECT h.source, greatest({", ".join(rate)}) <= 0.5 AS host_kept FROM h CROSS JOIN s)
+SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({rules["a"]} OR {rules["b"]}) AS base_failed,
+  NOT ({rules["a"]} OR {rules["b"]}) AND coalesce(v.host_kept, true) AS kept FROM d LEFT JOIN v ON v.source = d.source"""
+
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _quality_oracle()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

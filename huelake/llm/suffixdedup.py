@@ -10,7 +10,9 @@ differ in bytes, are asked for. 2) The asked
 stretches go to shards as bytes. In each, the stretches of an anchor are halved by
 document again and again; the earlier halves make a run-length index and the later ones
 are streamed against it, and a matching statistic of `length` or more marks a string.
-3) Marks return to the documents, which drop what they cover.
+3) Marks return to the documents, which drop what they cover. An anchor with very many differing stretches, as at the
+ends of a passage of a third of all documents, is not indexed in one task: its stretches go on
+as 128-bit hashes of their single strings, spread by string and joined before the shuffle.
 
 A task holds one batch, shard or block of bounded bytes; equal stretches of a batch are
 joined before the shuffle, so a passage that a third of the documents share makes one
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,7 +46,9 @@ CHUNK = 1 << 20
 PORTION = 1 << 23
 #: Bytes of text in a shard or block.
 PART_BYTES = 1 << 24
-COVERED, ASKED = 0, 1
+COVERED, ASKED, CROWDED = 0, 1, 2
+#: Stretches of one anchor that one index takes; an anchor with more is compared string by string.
+CROWD = 256
 #: Bytes beside the anchor on the one side or the other that every string holds.
 SIDE = (LENGTH - ANCHOR) // 2
 #: Bytes that one index is made of at a time, where anchors allow.
@@ -256,8 +261,11 @@ def _compare_hashes(blocks: int):
         asked = np.zeros(len(entries), dtype=bool)
         if len(first):
             asked[several] = shared(first, "left") | shared(first, "right")
+        _, of, times = np.unique(entries["key"][asked], return_inverse=True, return_counts=True)
+        crowded = asked.copy()
+        crowded[asked] = times[of] > CROWD
         out = []
-        for kind, keep in ((COVERED, twin), (ASKED, asked)):
+        for kind, keep in ((COVERED, twin), (ASKED, asked & ~crowded), (CROWDED, crowded)):
             marks = _marks(entries, keep)
             out += _rows(_block(marks["doc"], blocks), kind, marks)
         return _frame(out)
@@ -265,14 +273,40 @@ def _compare_hashes(blocks: int):
     return run
 
 
-def _fetch(shards: int):
+def _strings(crowded: pd.DataFrame, texts: dict, shards: int, blocks: int) -> list[tuple[int, int, bytes]]:
+    """The strings of stretches of crowded anchors, each as 128 bits, to shards of their own.
+
+    Strings that a block's documents share go on once, so a passage of very many
+    documents meets in no single task.
+    """
+    made = []
+    for blob in crowded["blob"]:
+        marks = unpack(blob, MARK)
+        for doc, start, more in zip(marks["doc"].tolist(), marks["start"].tolist(), marks["more"].tolist()):
+            raw = (texts.get(doc) or "").encode("utf-8", "surrogatepass") if not made or made[-1][4] != doc else made[-1][5]
+            for at in range(start, start + more + 1):
+                wide = xxhash.xxh3_128_intdigest(raw[at : at + LENGTH])
+                made.append((wide >> 64, wide & 0xFFFFFFFFFFFFFFFF, at, 0, doc, raw))
+    if not made:
+        return []
+    entries = np.zeros(len(made), dtype=ENTRY)
+    for name, values in zip(("key", "hash", "start", "more", "doc"), zip(*made)):
+        entries[name] = np.array(values, dtype=ENTRY[name])
+    entries, twin, _ = earlier_twin(entries)
+    marks, entries = _marks(entries, twin), entries[~twin]
+    return _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows((entries["key"] % np.uint64(shards)).astype(np.int64), CROWDED, entries)
+
+
+def _fetch(shards: int, blocks: int):
     """Bytes of the asked stretches, to their shards. A blob is packed marks and, after them, the bytes."""
 
     def run(key: tuple, docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        texts = dict(zip(docs["doc_id"], docs["text"]))
+        rows = _strings(asked[asked["kind"] == CROWDED], texts, shards, blocks)
+        asked = asked[asked["kind"] == ASKED]
         if not len(asked) or not len(docs):
-            return _frame([])
+            return _frame(rows)
         marks = np.concatenate([unpack(b, MARK) for b in asked["blob"]])
-        texts = dict(zip(docs["doc_id"], docs["text"]))
         marks = marks[np.argsort(marks["doc"], kind="stable")]
         shard = (marks["key"] % np.uint64(shards)).astype(np.int64)
         raw: list[bytes] = []
@@ -281,7 +315,6 @@ def _fetch(shards: int):
             if doc != last:
                 last, text = doc, (texts.get(doc) or "").encode("utf-8", "surrogatepass")
             raw.append(text[start : start + more + LENGTH])
-        rows = []
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1])))
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
@@ -335,6 +368,15 @@ def mark_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
 def _compare_bytes(blocks: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         marks, raw = [], []
+        out = rows[rows["kind"] == COVERED]
+        strings = rows[rows["kind"] == CROWDED]
+        if len(strings):
+            entries, twin, _ = earlier_twin(np.concatenate([unpack(b, ENTRY) for b in strings["blob"]]))
+            found = _marks(entries, twin)
+            out = pd.concat((out, _frame(_rows(_block(found["doc"], blocks), COVERED, found))))
+        rows = rows[rows["kind"] == ASKED]
+        if not len(rows):
+            return out
         for blob in rows["blob"]:
             n = int.from_bytes(blob[:8], "little")
             marks.append(unpack(blob[8 : 8 + n], MARK))
@@ -365,7 +407,7 @@ def _compare_bytes(blocks: int):
         owner = np.repeat(np.arange(len(size)), size)
         hit = np.flatnonzero(found)
         if not len(hit):
-            return _frame([])
+            return out
         head = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]))))
         first, last = hit[head], hit[np.append(head[1:], len(hit)) - 1]
         # back to every copy: the runs of its stretch
@@ -377,7 +419,7 @@ def _compare_bytes(blocks: int):
         run = np.repeat(at_run[copy_of] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
         made = np.zeros(len(back), dtype=MARK)
         made["doc"], made["start"], made["more"] = every["doc"][back], every["start"][back] + first[run] - start[owned[run]], (last - first)[run]
-        return _frame(_rows(_block(made["doc"], blocks), COVERED, made))
+        return pd.concat((out, _frame(_rows(_block(made["doc"], blocks), COVERED, made))))
 
     return run
 
@@ -428,7 +470,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     known = durable(hashed.groupBy("hot").applyInPandas(first_round, SCHEMA))
     blocks = plain.withColumn("part", block_column(parts)).repartition(min(parts, 1 << 20), "part")
-    bytes_ = blocks.groupBy("part").cogroup(known.where(F.col("kind") == ASKED).groupBy("part")).applyInPandas(_fetch(parts), SCHEMA)
-    more = bytes_.groupBy("part").applyInPandas(_compare_bytes(parts), SCHEMA)
+    bytes_ = blocks.groupBy("part").cogroup(known.where(F.col("kind") != COVERED).groupBy("part")).applyInPandas(_fetch(parts, parts), SCHEMA)
+    found_at_once = F.when(F.col("kind") == COVERED, -1 - F.col("part")).otherwise(F.col("part"))
+    more = bytes_.withColumn("hot", found_at_once).groupBy("hot").applyInPandas(lambda rows: _compare_bytes(parts)(rows.drop(columns="hot")), SCHEMA)
     marks = known.where(F.col("kind") == COVERED).union(more)
     return blocks.groupBy("part").cogroup(marks.groupBy("part")).applyInPandas(_finish, RESULT)

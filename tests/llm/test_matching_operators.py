@@ -140,7 +140,8 @@ def slow_removal(texts):
     return out
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [suffixdedup.CROWD, 2])
+def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
     rng = random.Random(7)
     make = lambda n: "".join(rng.choice("abcd éß\n") for _ in range(n))
     shared = [make(rng.randint(48, 160)) for _ in range(6)]
@@ -150,7 +151,16 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     texts += [texts[20], texts[20] + "tail", make(5000)]
     long = make(3000)
     texts += [long, "head" + long]
-    monkeypatch.setattr(suffixdedup, "CHUNK", 1000)  # long texts are cut and overlap
+    compare = suffixdedup._compare_hashes
+
+    def small_crowd(blocks):  # workers import the module anew, so the limit goes with the function
+        def run(rows):
+            suffixdedup.CROWD = crowd
+            return compare(blocks)(rows)
+
+        return run
+
+    monkeypatch.setattr(suffixdedup, "_compare_hashes", small_crowd)
     ids = list(range(3, 3 + 7 * len(texts), 7))
     rng.shuffle(ids)
     by_id = dict(zip(ids, texts))
@@ -254,3 +264,22 @@ def test_oracles(spark):
         r = c.sql(sql)
         at = [r.columns.index(x) for x in columns]
         assert sorted(map(str, ([x[i] for i in at] for x in r.fetchall()))) == sorted(map(str, ([x[k] for k in columns] for x in df.collect()))), name
+
+
+def test_cut_texts_have_the_same_strings(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes() for n in (10, 49, 50, 4000, 51, 2500)]
+
+    def by_string():
+        made = {}
+        for e in suffixdedup._entries(list(range(len(texts))), texts):
+            for k in range(int(e["more"]) + 1):
+                at = (int(e["doc"]), int(e["start"]) + k)
+                assert at not in made
+                made[at] = int(e["key"])
+        return made
+
+    whole = by_string()
+    assert set(whole) == {(d, i) for d, t in enumerate(texts) for i in range(len(t) - 49)}
+    monkeypatch.setattr(suffixdedup, "CHUNK", 300)
+    assert by_string() == whole
