@@ -25,6 +25,8 @@ document only stay; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -45,7 +47,7 @@ CHUNK = 1 << 20
 #: Bytes of text whose stretches are joined at once.
 PORTION = 1 << 23
 #: Bytes of text in a shard or block.
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 23
 COVERED, ASKED, CROWDED = 0, 1, 2
 #: Stretches of one anchor that one index takes; an anchor with more is compared string by string.
 CROWD = 256
@@ -70,6 +72,23 @@ def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def unpack_all(blobs, dtype: np.dtype) -> np.ndarray:
+    """The records of all blobs, filled into one array."""
+    sizes = [int.from_bytes(b[:8], "little") for b in blobs]
+    out, at = np.empty(sum(sizes), dtype=dtype), 0
+    for blob, n in zip(blobs, sizes):
+        out[at : at + n] = unpack(blob, dtype)
+        at += n
+    return out
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives through several stages, and its heap would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _C
     x = (x ^ (x >> np.uint64(29))) * _B
@@ -248,6 +267,7 @@ def _scan(shards: int, blocks: int):
                     marks = _marks(entries, twin)
                     entries = entries[~twin]
                     rows += _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows((entries["key"] % np.uint64(shards)).astype(np.int64), ASKED, entries)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
 
     return run
@@ -255,7 +275,7 @@ def _scan(shards: int, blocks: int):
 
 def _compare_hashes(blocks: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        entries, twin, several = earlier_twin(np.concatenate([unpack(b, ENTRY) for b in rows["blob"]]))
+        entries, twin, several = earlier_twin(unpack_all(rows["blob"], ENTRY))
         several &= ~twin
         first = entries[several]
         asked = np.zeros(len(entries), dtype=bool)
@@ -306,7 +326,7 @@ def _fetch(shards: int, blocks: int):
         asked = asked[asked["kind"] == ASKED]
         if not len(asked) or not len(docs):
             return _frame(rows)
-        marks = np.concatenate([unpack(b, MARK) for b in asked["blob"]])
+        marks = unpack_all(asked["blob"], MARK)
         marks = marks[np.argsort(marks["doc"], kind="stable")]
         shard = (marks["key"] % np.uint64(shards)).astype(np.int64)
         raw: list[bytes] = []
@@ -371,7 +391,7 @@ def _compare_bytes(blocks: int):
         out = rows[rows["kind"] == COVERED]
         strings = rows[rows["kind"] == CROWDED]
         if len(strings):
-            entries, twin, _ = earlier_twin(np.concatenate([unpack(b, ENTRY) for b in strings["blob"]]))
+            entries, twin, _ = earlier_twin(unpack_all(strings["blob"], ENTRY))
             found = _marks(entries, twin)
             out = pd.concat((out, _frame(_rows(_block(found["doc"], blocks), COVERED, found))))
         rows = rows[rows["kind"] == ASKED]
@@ -438,7 +458,7 @@ def covered_runs(n: int, start: np.ndarray, more: np.ndarray, length: int = LENG
 
 
 def _finish(key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-    found = np.concatenate([np.zeros(0, dtype=MARK), *[unpack(b, MARK) for b in marks["blob"]]])
+    found = unpack_all(marks["blob"], MARK)
     found = found[np.argsort(found["doc"], kind="stable")]
     ids, cuts = np.unique(found["doc"], return_index=True)
     where = {int(d): (int(a), int(b)) for d, a, b in zip(ids, cuts, [*cuts[1:], len(found)])}
@@ -466,12 +486,19 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     def first_round(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="hot")
-        return rows if rows["kind"].iloc[0] == COVERED else _compare_hashes(parts)(rows)
+        made = rows if rows["kind"].iloc[0] == COVERED else _compare_hashes(parts)(rows)
+        give_back()
+        return made
+
+    def second_round(rows: pd.DataFrame) -> pd.DataFrame:
+        made = _compare_bytes(parts)(rows.drop(columns="hot"))
+        give_back()
+        return made
 
     known = durable(hashed.groupBy("hot").applyInPandas(first_round, SCHEMA))
     blocks = plain.withColumn("part", block_column(parts)).repartition(min(parts, 1 << 20), "part")
     bytes_ = blocks.groupBy("part").cogroup(known.where(F.col("kind") != COVERED).groupBy("part")).applyInPandas(_fetch(parts, parts), SCHEMA)
     found_at_once = F.when(F.col("kind") == COVERED, -1 - F.col("part")).otherwise(F.col("part"))
-    more = bytes_.withColumn("hot", found_at_once).groupBy("hot").applyInPandas(lambda rows: _compare_bytes(parts)(rows.drop(columns="hot")), SCHEMA)
+    more = bytes_.withColumn("hot", found_at_once).groupBy("hot").applyInPandas(second_round, SCHEMA)
     marks = known.where(F.col("kind") == COVERED).union(more)
     return blocks.groupBy("part").cogroup(marks.groupBy("part")).applyInPandas(_finish, RESULT)
