@@ -107,7 +107,7 @@ def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor:
     """(start, more, key, hash, left, right) of the stretches in `data`, which holds pieces that begin at `first`.
 
     A stretch is the strings that start in [start, start + more] and share their anchor. left and
-    right are hashes of the SIDE bytes beside it with 24 bits, or zero where the stretch has fewer.
+    right are hashes of the SIDE bytes beside it with 16 bits, or zero where the stretch has fewer.
     """
     if len(data) < length:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
@@ -144,7 +144,7 @@ def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor:
             made = key[spot]
             for shift in (*range(0, SIDE - 7, 8), SIDE - 8):
                 made = _mix(made + mixed[np.clip(at + shift, 0, top)] * _C)
-            return np.where(valid, (made >> np.uint64(40)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+            return np.where(valid, (made >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
 
         left = beside(spot - SIDE, spot - SIDE >= start)
         right = beside(spot + anchor, spot + anchor + SIDE <= stop + length)
@@ -210,7 +210,9 @@ def earlier_twin(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _rows(part: np.ndarray, kind: int, values: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Records packed by their part's number."""
+    """Records packed by their part's number. Marks of covered strings need no anchor any more."""
+    if kind == COVERED and len(values):
+        values["key"] = 0
     order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")  # 16 bits: radix
     cuts = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))) if len(part) else []
     return [(int(part[order[a]]), kind, pack(values[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(part)])]
