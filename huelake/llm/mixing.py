@@ -26,6 +26,11 @@ POINTS = 31
 NULL_SOURCE = "\x00"
 
 
+def drawn(*parts: Column) -> Column:
+    """MD5 of the parts, as hex: an order that any SQL engine finds again."""
+    return F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
+
+
 def word_tokens(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -93,12 +98,13 @@ def mix(docs: DataFrame, *, entropy_ratio: float = 0.95, max_repeats: float = 4.
     )
     ident = F.col(doc_id).cast("string")
     dealt = attach(named, durable(table), "mix_source", doc_id).where("mix_weight is not null")
-    dealt = dealt.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), ident), F.col("__blocks"))).withColumn("__base", F.floor("mix_rate"))
+    number = F.conv(F.substring(drawn(F.lit(seed), ident), 1, 15), 16, 10).cast("long")
+    dealt = dealt.withColumn("mix_block", number % F.col("__blocks")).withColumn("__base", F.floor("mix_rate"))
     group = Window.partitionBy("mix_source", "mix_block")
-    last = group.orderBy(F.xxhash64(F.lit(seed), F.col("__base"), ident), ident)
+    last = group.orderBy(drawn(F.lit(seed), F.col("__base"), ident), ident, "mix_tokens")
     before = F.sum("mix_tokens").over(last.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mix_tokens") / 2
     extra = (before < (F.col("mix_rate") - F.col("__base")) * F.sum("mix_tokens").over(group)).cast("long")
     times = dealt.withColumn("__times", F.col("__base") + extra).where("__times > 0")
     copies = times.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
-    order = Window.partitionBy("mix_source", "mix_block", "mix_epoch").orderBy(F.xxhash64(F.lit(seed), F.col("mix_epoch"), ident), ident)
+    order = Window.partitionBy("mix_source", "mix_block", "mix_epoch").orderBy(drawn(F.lit(seed), F.col("mix_epoch"), ident), ident, "mix_tokens")
     return copies.withColumn("mix_position", F.row_number().over(order)).drop("__blocks", "__base", "__times")

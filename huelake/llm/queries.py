@@ -114,6 +114,51 @@ SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({
   NOT ({rules["a"]} OR {rules["b"]}) AND coalesce(v.host_kept, true) AS kept FROM d LEFT JOIN v ON v.source = d.source"""
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _quality_oracle()}
+def _mixing_oracle(entropy_ratio: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 20) -> str:
+    """Source mixing in DuckDB SQL: two bisections of 30 steps over the list of shares, then the blocks' permutations."""
+    z = lambda t: f"list_sum(list_transform(ps, lambda p: pow(p, {t})))"
+    d = lambda t: f"list_sum(list_transform(ps, lambda p: pow(p, {t}) * ln(p)))"
+    enough = lambda t: f"(ln({z(t)}) - {t} * {d(t)} / {z(t)} >= {entropy_ratio!r} * ln(len(ps)))"
+    repeats = lambda t: f"(list_max(list_transform(ps, lambda p: pow(p, {t} - 1))) / list_min(list_transform(ps, lambda p: pow(p, {t} - 1))))"
+    step = lambda table, good: f"SELECT k + 1, CASE WHEN {good} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {good} THEN hi ELSE (lo + hi) / 2 END, ps FROM {table} WHERE k < 30"
+    drawn = lambda x: f"md5('0|' || {x} || '|' || coalesce(cast(doc_id AS VARCHAR), ''))"
+    return f"""
+WITH RECURSIVE n AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS mix_tokens FROM documents),
+s AS (SELECT source, sum(mix_tokens) AS tokens FROM n GROUP BY source HAVING sum(mix_tokens) > 0),
+q AS (SELECT list(tokens / cast(grand AS DOUBLE) ORDER BY tokens) AS ps, any_value(grand) AS grand FROM s CROSS JOIN (SELECT sum(tokens) AS grand FROM s) g),
+a AS (SELECT 0 AS k, cast(0 AS DOUBLE) AS lo, cast(1 AS DOUBLE) AS hi, ps FROM q UNION ALL {step("a", enough("((lo + hi) / 2)"))}),
+b AS (SELECT 0 AS k, cast(0 AS DOUBLE) AS lo, cast(1 AS DOUBLE) AS hi, ps FROM q UNION ALL {step("b", f"{repeats('((lo + hi) / 2)')} > {max_repeats!r}")}),
+t1 AS (SELECT q.ps, grand, CASE WHEN len(q.ps) < 2 OR {enough("1.0").replace("ps", "q.ps")} THEN 1.0 ELSE round(a.hi, 9) END AS t FROM q CROSS JOIN a WHERE a.k = 30),
+t2 AS (SELECT t1.ps, grand, CASE WHEN {repeats("t").replace("ps", "t1.ps")} > {max_repeats!r} * (1 + 1e-9) THEN greatest(t, round(b.hi, 9)) ELSE t END AS t FROM t1 CROSS JOIN b WHERE b.k = 30),
+e AS (SELECT grand, t, {z("t")} AS z, grand * {z("t")} / list_min(list_transform(ps, lambda p: pow(p, t - 1))) AS spend FROM t2),
+v AS (SELECT source, tokens, spend, round(pow(tokens / cast(grand AS DOUBLE), t) / z, 12) AS mix_weight FROM s CROSS JOIN e),
+r AS (SELECT source, mix_weight, round(mix_weight * spend / tokens, 9) AS mix_rate, cast(ceil(tokens / {float(block_tokens)}) AS BIGINT) AS blocks FROM v),
+x AS (SELECT doc_id, n.source, mix_tokens, mix_weight, mix_rate, cast(floor(mix_rate) AS BIGINT) AS base,
+  cast('0x' || substr(md5('0|' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % blocks AS mix_block FROM n JOIN r ON n.source IS NOT DISTINCT FROM r.source),
+c AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY source, mix_block ORDER BY {drawn("base")}, cast(doc_id AS VARCHAR), mix_tokens ROWS UNBOUNDED PRECEDING) - mix_tokens / 2.0 AS before,
+  sum(mix_tokens) OVER (PARTITION BY source, mix_block) AS held FROM x),
+m AS (SELECT *, unnest(range(0, base + CASE WHEN before < (mix_rate - base) * held THEN 1 ELSE 0 END)) AS mix_epoch FROM c)
+SELECT doc_id, source, mix_tokens, mix_weight, mix_rate, cast(mix_epoch AS BIGINT) AS mix_epoch, mix_block,
+  cast(row_number() OVER (PARTITION BY source, mix_block, mix_epoch ORDER BY {drawn("mix_epoch")}, cast(doc_id AS VARCHAR), mix_tokens) AS INTEGER) AS mix_position FROM m"""
+
+
+#: Suffix dedup in DuckDB SQL: windows of 50 bytes, the least document of each, runs of covered bytes.
+SUFFIX_ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50) t),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.doc_id, w.i FROM w JOIN f ON f.s = w.s WHERE f.least < w.doc_id),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS head FROM h),
+g AS (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM e),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM g GROUP BY doc_id, run),
+n AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT n.doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS final, string_agg(hex(array_slice(d.b, before + 1, a - 1)), '' ORDER BY a) AS parts
+  FROM n JOIN d ON d.doc_id = n.doc_id GROUP BY n.doc_id)
+SELECT d.doc_id, cast(octet_length(b) AS BIGINT) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, cast(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN k.doc_id IS NULL THEN b ELSE unhex(parts || hex(array_slice(b, final + 1, octet_length(b)))) END) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _quality_oracle(), "op2_source_mixing": _mixing_oracle(), "op9_suffix_dedup": SUFFIX_ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -266,6 +266,32 @@ def test_oracles(spark):
         assert sorted(map(str, ([x[i] for i in at] for x in r.fetchall()))) == sorted(map(str, ([x[k] for k in columns] for x in df.collect()))), name
 
 
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_source_mixing", "op9_suffix_dedup"])
+@pytest.mark.parametrize("counts", [{"a": 300, "b": 20, None: 4}, {"a": 40, "b": 39, "c": 38}, {"a": 30}])
+def test_oracles_on_skewed_sources(spark, tmp_path, name, counts):
+    import duckdb
+
+    from huelake.llm import queries
+
+    rng = random.Random(len(counts))
+    shared = " ".join(rng.choice(["möwe", "tree", "stone", "sea"]) for _ in range(30))
+    rows = []
+    for source, n in counts.items():
+        for _ in range(n):
+            words = " ".join("".join(rng.choice("abcdé") for _ in range(4)) for _ in range(rng.randrange(0, 60)))
+            text = rng.choice([None, "", words, words, words + " " + shared, shared + "\n" + words + "\n" + shared])
+            rows.append((len(rows), text, "en", source, len(text or "")))
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    r = c.sql(queries.ORACLES[name])
+    at = [r.columns.index(x) for x in columns]
+    made = sorted(map(str, ([x[k] for k in columns] for x in df.collect())))
+    assert made and made == sorted(map(str, ([x[i] for i in at] for x in r.fetchall())))
+
+
 def test_cut_texts_have_the_same_strings(monkeypatch):
     rng = np.random.default_rng(4)
     texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes() for n in (10, 49, 50, 4000, 51, 2500)]
