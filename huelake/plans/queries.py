@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -262,6 +264,35 @@ def nearest_ciede2000_exact(spark, sf_dir):
     return typed(near.nearest(asked_bins(spark, sf_dir), fx.palette(spark, sf_dir), Algorithm.CIEDE2000_EXACT), **FOUND)
 
 
+_WORDS = {"delta-e-76": "nearest_delta_e_76", "cie94": "nearest_cie94", "ciede2000": "nearest_ciede2000", "ciede2000-exact": "nearest_ciede2000"}
+
+
+@query(" UNION ALL ".join(f"SELECT *, '{word}' AS algorithm FROM ({ORACLES[name]}) t" for word, name in _WORDS.items()))
+def nearest(spark, sf_dir):
+    """The dispatch by word: each algorithm's answers, one below the other."""
+    asked, palette = asked_bins(spark, sf_dir), fx.palette(spark, sf_dir)
+    first, *rest = (typed(near.nearest(asked, palette, word), **FOUND).withColumn("algorithm", F.lit(word)) for word in _WORDS)
+    for df in rest:
+        first = first.union(df)
+    return first
+
+
+_SPELLINGS = ("delta-e-76", "DELTA-E-76", "Cie94", "ciede2000", "CIEDE2000-Exact", " cie94", "cie-94", "")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', {f"'{x.lower()}'" if x.lower() in _WORDS else 'NULL'})" for x in _SPELLINGS) + ") t(given, word)")
+def parse_algorithm(spark, sf_dir):
+    """The word of each spelling; null where it is refused."""
+
+    def word(given: str) -> str | None:
+        try:
+            return str(Algorithm.parse(given))
+        except ValueError:
+            return None
+
+    return spark.createDataFrame([(x, word(x)) for x in _SPELLINGS], "given string, word string")
+
+
 _NEAR96 = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY d76, palette_idx) AS place FROM {q.add(pairs(ASKED), d76=q.de76())} t) t WHERE place <= 96)"
 
 
@@ -464,6 +495,44 @@ def ledger_reactivated(spark, sf_dir):
     return typed(led.reactivated(fx.ledger(spark, sf_dir), fx.names(spark, sf_dir)), **LEDGER)
 
 
+def shared_file(spark: SparkSession, name: str) -> str:
+    """A new file's path in the shared folder; the driver writes it, so the folder is mounted on the driver."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/huelake"
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    if "://" in folder:
+        raise ValueError(f"a ledger is written by the driver, which cannot open {folder}")
+    os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{name}-{uuid.uuid4().hex}.csv"
+
+
+@query(wanted(fx.LEDGER, **LEDGER))
+def ledger_sink(spark, sf_dir):
+    """A ledger written as a file, staged and renamed, and its rows read back without its rules."""
+    path = shared_file(spark, "ledger-sink")
+    led.ledger_sink(fx.ledger(spark, sf_dir), path)
+    return typed(spark.read.schema(led.SCHEMA).csv(f"file://{path}", header=True, comment="#", multiLine=True, escape='"'), **LEDGER)
+
+
+@query(ORACLES["ledger_sink"])
+def ledger_scan(spark, sf_dir):
+    """A ledger's file read with all its checks."""
+    path = shared_file(spark, "ledger-scan")
+    led.ledger_sink(fx.ledger(spark, sf_dir), path)
+    return typed(led.ledger_scan(spark, f"file://{path}"), **LEDGER)
+
+
+@query(wanted(q.with_lab("(SELECT * EXCLUDE (name), 'colour ' || palette_idx AS name FROM " + fx.L1 + " t WHERE palette_idx < 400)"), **PALETTE))
+def palette_build(spark, sf_dir):
+    """The full palette from hierarchy rows and the ledger."""
+    rows = fx.palette(spark, sf_dir).where("palette_idx < 400")
+    plain = {f"{kind}_{c}": F.col(c) for kind in ("xkcd", "design", "common") for c in "rgb"}
+    named = {f"{kind}_{x}": F.concat(F.lit("colour "), F.col("palette_idx")) for kind, x in (("xkcd", "color"), ("design", "color"), ("common", "color"), ("xkcd", "hex"), ("design", "hex"), ("common", "hex"))}
+    words = {"color_family": F.concat(F.lit(" "), "family"), "color_type": F.col("kind"), "color_or_neutral": F.when(F.col("is_neutral"), "neutral").otherwise("color")}
+    hierarchy = rows.select("palette_idx", *[e.alias(k) for k, e in {**plain, **named, **words}.items()])
+    return typed(pal.build_palette(hierarchy, fx.ledger(spark, sf_dir)), **PALETTE)
+
+
 @query()
 def ledger_update(spark, sf_dir):
     return typed(led.update(fx.names(spark, sf_dir), fx.ledger(spark, sf_dir), allow_retire_and_mint=True, allow_revival=True), **LEDGER)

@@ -16,6 +16,13 @@ HIERARCHY = (
 )
 
 
+def bounded(table: DataFrame, what: str = "a palette") -> DataFrame:
+    """`table`, once a count has shown that it is small enough to broadcast or collect."""
+    if table.limit(MAX_ROWS + 1).count() > MAX_ROWS:
+        raise ValueError(f"{what} has at most {MAX_ROWS} rows")
+    return table
+
+
 def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
     """The CSV with palette_idx, its 0-based order. A palette is bounded, so one task numbers it."""
     rows = spark.read.schema(HIERARCHY).csv(path, header=True, mode="FAILFAST", multiLine=True, escape='"')
@@ -31,7 +38,7 @@ def build_palette(hierarchy: DataFrame, ledger: DataFrame) -> DataFrame:
     for column in ("color_family", "color_type"):
         if hierarchy.where(F.trim(F.coalesce(F.col(column), F.lit(""))) == "").limit(1).count():
             raise ValueError(f"empty {column}")
-    ids = ledger.select(F.col("id").cast("long").alias("color_id"), "xkcd_color")
+    ids = bounded(ledger, "a ledger").select(F.col("id").cast("long").alias("color_id"), "xkcd_color")
     joined = hierarchy.join(F.broadcast(ids), "xkcd_color", "left")
     if joined.where("color_id is null").limit(1).count():
         raise ValueError("a colour has no id in the ledger")
@@ -58,8 +65,8 @@ def distinct_words(palette: DataFrame, column: str) -> DataFrame:
 
 
 def color_from_id(queries: DataFrame, palette: DataFrame, column: str = "color_id") -> DataFrame:
-    """Left lookup: unknown ids and 0 find nothing. The palette's size is bounded by its ids."""
-    return queries.join(F.broadcast(palette), column, "left")
+    """Left lookup: unknown ids and 0 find nothing."""
+    return queries.join(F.broadcast(bounded(palette)), column, "left")
 
 
 class PaletteArrays:
