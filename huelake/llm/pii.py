@@ -40,15 +40,18 @@ PATTERNS = {
     "secret": r"(?i:(?<!\w)(?:[\w\-]*(?:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key))\"? ?[=:] ?)[\"']?(?P<value>[A-Za-z0-9+/_\-]{8,})[\"']?|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-MAYBE = re.compile(r"[0-9@]|(?i:token|secret|passw|pwd|key)")
+MAYBE = re.compile(r"[\d@]|(?i:token|secret|passw|pwd|key)")
 NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΩА-Я][\w'’\-]*"
 TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({NAME}(?: {NAME})?)")
 PAIR = re.compile(rf"(?<!\w)([A-Z][a-z]+) ({NAME})")
 GIVEN = {**{n.lower(): FEMALE for n in FEMALE}, **{n.lower(): MALE for n in MALE}}
 
-ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñðþ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
+NUMBERS = ("card", "iban", "ip", "phone", "ssn")
+ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñðþ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
 HEX = "0123456789abcdef"
-CLASS = {c: a for a in ALPHABETS for c in a}
+# First and last letter or digit of scripts that are permuted as a whole.
+RANGES = ["את", "ءي", "٠٩", "۰۹", "०९", "अह", "กฮ", "ぁゖ", "ァヺ", "가힣", "一龥", "０９", "ａｚ"]
+CLASS = {c: a for a in [*ALPHABETS, *("".join(map(chr, range(ord(r[0]), ord(r[1]) + 1))) for r in RANGES)] for c in a}
 
 
 class Permutation:
@@ -153,8 +156,19 @@ def _name(key: bytes, name: str) -> str:
         name = made
 
 
+def _scripted(key: bytes, kind: str, text: str) -> str:
+    """The surrogate of a number with digits of other scripts: that of the plain number, in the same scripts."""
+    zeros = [ord(c) - int(c) if c.isdecimal() else 0 for c in text]  # a script's ten digits follow each other
+    made = surrogate(key, kind, "".join(str(int(c)) if z else c for c, z in zip(text, zeros)))
+    if len(made) != len(text):  # octets of an address grow and shrink: the first digit's script
+        zeros = [next(filter(None, zeros))] * len(made)
+    return "".join(chr(z + int(c)) if z and c.isdecimal() else c for c, z in zip(made, zeros))
+
+
 def surrogate(key: bytes, kind: str, text: str) -> str:
     """The replacement of one entity."""
+    if kind in NUMBERS and any(c.isdecimal() and not c.isascii() for c in text):
+        return _scripted(key, kind, text)
     if kind == "email":
         at = text.rindex(".")
         return permute_text(key, kind, text[:at], [CLASS.get(c.lower()) for c in text[:at]]) + text[at:]

@@ -216,6 +216,18 @@ def test_surrogates_keep_type_and_format(kind, text, shape):
     assert pii.replace(f"{prefix}{text}, and", KEY)[0] == pii.replace(f"{prefix}{text}, and", KEY)[0]
 
 
+@pytest.mark.parametrize("text", ["+49 ٣٣ ٣٣٣٣", "١٠.2.٣.4", "٤111 1111 1111 1111", "١٢٣-٤٥-٦٧٨٩", "张伟@公司.cn", "ёж９@בית.ru", "한국1@例え.jp"])
+def test_surrogates_of_other_scripts(text):
+    plain = "".join(str(int(c)) if c.isdecimal() else c for c in text)
+    (new, spans), (same, _) = pii.replace(f"a {text} b", b"k"), pii.replace(f"a {plain} b", b"k")
+    made = new[2:-2]
+    assert len(spans) == 1 and made != text and pii.detect(new) == [(spans[0][0], 2, 2 + len(made))]
+    if "@" in text:  # every letter and digit is permuted within its script
+        assert len(made) == len(text) and all(pii.CLASS.get(a) == pii.CLASS.get(b) for a, b in zip(text, made)) and all(c in pii.CLASS for c in text if c not in "@.")
+    else:  # one number in two scripts is one entity
+        assert "".join(str(int(c)) if c.isdecimal() else c for c in made) == same[2:-2] and any(not c.isascii() for c in made)
+
+
 def test_people_keep_gender_and_coreference():
     made, spans = pii.replace("Mr. John Smithson met Mary Jonesby. Smithson left; JOHN stayed.", KEY)
     new = {made_: kind for kind, *_, made_ in spans}
