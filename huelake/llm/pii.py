@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -191,6 +192,12 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     return _name(key, text)
 
 
+@lru_cache(maxsize=1 << 14)
+def _remembered(key: bytes, kind: str, text: str) -> str:
+    """The surrogate of a short entity; a worker meets the same ones often."""
+    return surrogate(key, kind, text)
+
+
 def _valid(kind: str, text: str) -> bool:
     if kind == "ip":
         return all(int(x) < 256 for x in text.split("."))
@@ -224,7 +231,7 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int, str]]]:
     """The text with surrogates, and (kind, start, end, surrogate) with places in the original."""
-    spans = [(kind, a, b, surrogate(key, kind, text[a:b])) for kind, a, b in detect(text)] if text else []
+    spans = [(kind, a, b, (_remembered if b - a <= 64 else surrogate)(key, kind, text[a:b])) for kind, a, b in detect(text)] if text else []
     if not spans:
         return text, []
     out, at = [], 0
