@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.algorithm import Algorithm
 from ..functions.colors import delta_e_76_sq, delta_e_94_sq, lut_cell, with_delta_e_2000, with_lab
-from ..functions.metrics import nearest_index
+from ..functions.metrics import delta_e_2000_sq, delta_e_76_sq as plain_distance, nearest_index, rgb_to_lab
 from ..sources.palette import MAX_ROWS, PaletteArrays
 
 RGB = ["r", "g", "b"]
 #: Cells of the candidate table that one task fills: 512 colours against the palette each.
 CELLS_PER_TASK = 8
+#: Upper bound of CIEDE2000's weight of lightness, 1 + 0.015 * 2500 / sqrt(2520) at L of 0 and 100.
+MOST_SL = 1.75
 
 
 def nearest_arrow(colors: DataFrame, palette: DataFrame, algorithm: Algorithm) -> DataFrame:
@@ -74,6 +76,21 @@ def nearest_prefiltered(colors: DataFrame, palette: DataFrame, keep: int = 96) -
     return best.select(*RGB, "best.palette_idx", "best.color_id")
 
 
+def cell_winners(rgb: np.ndarray, palette_lab: np.ndarray) -> np.ndarray:
+    """Indexes of the entries that win CIEDE2000 for some of the colours, which lie close together.
+
+    A distance is at least the difference of lightness over MOST_SL, so entries that differ by more
+    than the worst colour's distance to one of eight near entries cannot win and are not compared.
+    """
+    lab = rgb_to_lab(rgb)
+    near = np.argsort(plain_distance(palette_lab, lab.mean(axis=0)), kind="stable")[:8]
+    most = delta_e_2000_sq(palette_lab[None, near, :], lab[:, None, :]).min(axis=1).max()
+    light = palette_lab[:, 0]
+    gap = np.maximum(np.maximum(lab[:, 0].min() - light, light - lab[:, 0].max()), 0.0) / MOST_SL
+    able = np.flatnonzero(gap * gap <= most)  # in order, so that the lowest index wins ties as before
+    return np.unique(able[nearest_index(rgb, palette_lab[able], Algorithm.CIEDE2000)])
+
+
 def build_lut(spark, palette: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """(cell, palette_idx): the entries that win CIEDE2000 for some colour of a 5-bit cell.
 
@@ -89,7 +106,7 @@ def build_lut(spark, palette: DataFrame, cells: DataFrame | None = None) -> Data
             out: list[tuple[int, int]] = []
             for cell in batch.column(0).to_pylist():
                 corner = np.array([cell >> 10, cell >> 5 & 31, cell & 31]) * 8
-                winners = np.unique(known.idx[nearest_index(corner + low, known.lab, Algorithm.CIEDE2000)])
+                winners = np.unique(known.idx[cell_winners(corner + low, known.lab)])
                 out += [(cell, int(w)) for w in winners]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64())], ["cell", "palette_idx"])
 

@@ -307,6 +307,7 @@ _LUT = f"(SELECT DISTINCT cell, palette_idx FROM {winner(q.with_de00(pairs(_CELL
 
 
 def some_lut(spark, sf_dir) -> DataFrame:
+    """The table of four cells, few enough for the SQL; the queries _all_cells build the whole table."""
     return near.build_lut(spark, fx.palette(spark, sf_dir), spark.createDataFrame([(c,) for c in _CELLS], "cell int"))
 
 
@@ -320,6 +321,16 @@ def lut_statistics(spark, sf_dir):
     return typed(near.lut_statistics(some_lut(spark, sf_dir)), total="long", average="double", most="long")
 
 
+@query()
+def candidate_lut_build_all_cells(spark, sf_dir):
+    return typed(near.build_lut(spark, fx.palette(spark, sf_dir)), cell="long", palette_idx="long")
+
+
+@query()
+def lut_statistics_all_cells(spark, sf_dir):
+    return typed(near.lut_statistics(near.build_lut(spark, fx.palette(spark, sf_dir))), total="long", average="double", most="long")
+
+
 # ---- histograms and boxes ----
 
 HISTO = dict(frame_id="long", r5="long", g5="long", b5="long", cnt="long")
