@@ -41,6 +41,12 @@ PATTERNS = {
     "secret": r"(?i:(?<!\w)(?:[\w\-]*(?:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key))\"? ?[=:] ?)[\"']?(?P<value>[A-Za-z0-9+/_\-]{8,})[\"']?|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+SINGLE = {k: re.compile(p) for k, p in PATTERNS.items()}
+CARD = SINGLE["card"]
+#: Digits and the mark behind them; the places where a rejected span is cut; numbers as issuers give them.
+GROUP = re.compile(r"(\d+)(?!\w)(?:([ \-])(?=\d))?")
+NEXT = re.compile(r"[ \-:]+(?=\w)")
+ISSUED = re.compile(r"4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|(?:5[06-9]|6\d)\d{11,17}|2[2-7]\d{14,17}|3\d{13,18}")
 MAYBE = re.compile(r"[\d@]|(?i:token|secret|passw|pwd|key)")
 NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΩА-Я][\w'’\-]*"
 TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({NAME}(?: {NAME})?)")
@@ -208,15 +214,86 @@ def _valid(kind: str, text: str) -> bool:
     return True
 
 
-def detect(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the entities, in order and without overlaps."""
-    found = []
-    if MAYBE.search(text):
-        for m in FINDER.finditer(text):
+def _digits_of(text: str) -> str:
+    return "".join(str(int(c)) for c in text if c.isdigit())
+
+
+def _cards(text: str, start: int, end: int, usual: bool = True) -> list[tuple[tuple[bool, int], int, int]]:
+    """((known issuer, digits), start, end) of the valid cards that begin at `start`, in the usual form or any."""
+    out, lengths, mark, n, at = [], [], None, 0, start
+    while m := GROUP.match(text, at, end):
+        n += len(m[1])
+        if n > 19:
+            break
+        lengths.append(len(m[1]))
+        at = m.end(1)
+        digits = _digits_of(text[start:at]) if n >= 13 else ""
+        if digits and luhn(digits) == 0:
+            known = bool(ISSUED.fullmatch(digits))
+            if known or lengths == [4] * 4:
+                out.append(((known, n), start, at))
+        # groups before the last have four digits or more, and one kind of mark stands between them
+        if not m[2] or (usual and (lengths[-1] < 4 or (mark and m[2] != mark))):
+            break
+        mark, at = m[2], m.end()
+    return out
+
+
+def _resolved(text: str, kind: str, start: int, end: int, stop: int) -> tuple[str, int, int] | None:
+    """The entity at the start of a span of `kind`, which is a card or failed its check: a shorter one, or one of a later kind."""
+    if kind == "iban":
+        for b in sorted({start + m.start() for m in re.finditer(" ", text[start:end])}, reverse=True):
+            if _valid(kind, text[start:b]):
+                return kind, start, b
+    if cards := _cards(text, start, stop) if CARD.match(text, start, stop) else []:
+        best = max(cards, key=lambda c: c[0])
+        for m in GROUP.finditer(text, start, best[2]):  # another may begin in this one: the year in '2024 4952 ...' is none of its digits
+            if m.start() > start:
+                best = max([best, *_cards(text, m.start(), stop)], key=lambda c: c[0])
+        return "card", best[1], best[2]
+    for other in list(PATTERNS)[list(PATTERNS).index(kind) + 1 :]:
+        m = SINGLE[other].match(text, start, stop)
+        if m and other != "card":
+            a, b = m.span("value") if other == "secret" and m["value"] else m.span()
+            if _valid(other, text[a:b]):
+                return other, a, b
+    m = CARD.match(text, start, stop)
+    later = [c for g in GROUP.finditer(text, start, m.end()) if g.start() > start for c in _cards(text, g.start(), stop) if c[0][0]] if m else []
+    if later:
+        return "card", *max(later, key=lambda c: c[0])[1:]
+    if m and _valid("card", m[0]):
+        return "card", *m.span()
+    odd = [c for c in _cards(text, start, stop, usual=False) if c[0][0]] if m else []
+    return ("card", *max(odd)[1:]) if odd else None
+
+
+def _found(text: str) -> list[tuple[str, int, int]]:
+    """Spans of all kinds but people. Behind a failed check the search goes on at the next group."""
+    found, parts = [], [(0, len(text))]
+    while parts:
+        at, stop = parts.pop()
+        while m := FINDER.search(text, at, stop):
             kind = next(k for k in KINDS if m[k] is not None)
             a, b = m.span("value") if kind == "secret" and m["value"] else m.span()
-            if _valid(kind, text[a:b]):
+            if kind == "card" or not _valid(kind, text[a:b]):
+                if not (span := _resolved(text, kind, a, b, stop)):
+                    after = NEXT.search(text, a, b)
+                    at = after.end() if after else b
+                    continue
+                if span[1] > a:
+                    parts.append((a, span[1]))
+                kind, a, b = span
+                found.append(span)
+                at = b
+            else:
                 found.append((kind, a, b))
+                at = m.end()
+    return found
+
+
+def detect(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the entities, in order and without overlaps."""
+    found = _found(text) if MAYBE.search(text) else []
     people = [m.span(1) for m in TITLED.finditer(text)] + [m.span() for m in PAIR.finditer(text) if m[1].lower() in GIVEN]
     if people:
         parts = {w for a, b in people for w in text[a:b].split(" ")}
