@@ -38,8 +38,13 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption html body button object marquee template".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|</(?P<close>[A-Za-z][^\s/>]*)[^>]*>?|<(?P<open>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: What follows a tag's name, by the standard's states: a quote opens a value only behind '=' and its spaces, elsewhere it belongs
+#: to a name or an unquoted value; '=' at a name's start belongs to the name. A tag that the page's end cuts off is dropped.
+W = r" \t\n\r\f"
+VALUE = rf"\"(?:[^\"]*\"|[^\"]*$)|'(?:[^']*'|[^']*$)|[^{W}>\"'][^{W}>]*+"
+REST = rf"(?:[{W}/]++|[^{W}/>][^{W}/>=]*+(?:[{W}]*+=[{W}]*+(?:{VALUE})?+)?+)*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(?:/(?P<close>[A-Za-z][^{W}/>]*)|(?P<open>[A-Za-z][^{W}/>]*))(?P<rest>{REST})(?P<end>>|$)", re.S)
+ATTRIBUTE = re.compile(rf"([^{W}/>][^{W}/>=]*+)(?:[{W}]*+=[{W}]*+(?:\"([^\"]*)\"|'([^']*)'|([^{W}>\"'][^{W}>]*+))?+)?+")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|font-size\s*:\s*0(?:px|em|%)?\s*(?:;|$)|opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -88,6 +93,8 @@ def parse(html: str) -> Node:
             break
         text(html[at : m.start()])
         at = m.end()
+        if m["end"] == "":
+            break
         if m["open"]:
             tag = m["open"].lower()
             attrs = {a.lower(): unescape(x or y or z) for a, x, y, z in ATTRIBUTE.findall(m["rest"])} if m["rest"] and not m["rest"].isspace() else {}
