@@ -21,20 +21,28 @@ MAX_REPEATS = 4.0
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of `docs` for each doc_id in `kept` (equal ids are copies of one document)."""
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """COLUMNS and row_key, a 64-bit hash of them all: doc_id may be null, or shared by different texts."""
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("row_key"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host does."""
-    return _only(docs, quality.judge(docs).where("kept").select("doc_id"))
+    """Rows that pass the base rules and whose host does; each by itself, with a null or shared doc_id too."""
+    keyed = _keyed(docs)
+    kept = quality.judge(keyed, doc_id="row_key").where("kept").select(F.col("doc_id").alias("row_key"))
+    return keyed.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group, once."""
-    found = simhash.near_duplicates(docs)
-    return _only(docs, found.where("doc_id = component_id").select("doc_id")).dropDuplicates(["doc_id"])
+    """The row with the smallest doc_id of each near-duplicate group, once; a null doc_id comes last.
+
+    Groups depend on the texts alone: different texts stay where they share a doc_id or have none.
+    """
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    named = keyed.select("row_key", "doc_id").join(found, "row_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")).alias("least"))
+    return keyed.join(first.select("least.row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
