@@ -16,6 +16,7 @@ named pii_spans are replaced; everything else passes through.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,24 +31,28 @@ MALE = "Adam Albert Alexander Andrew Anthony Arthur Benjamin Brian Carlos Charle
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mademoiselle Señor Señora Señorita".split()
 
 KINDS = "email ipv6 ip iban card ssn phone secret".split()
+G, V4 = "[0-9A-Fa-f]{1,4}", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[\w.%+\-]++@[\w\-]+(?:\.[\w\-]+)+",
-    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "ipv6": rf"(?<![\w:])(?:(?:{G}:){{7}}{G}|(?:{G}:){{6}}{V4}|(?:{G}(?::{G}){{0,6}})?::(?:(?:{G}:){{0,5}}(?:{V4}|{G}))?)(?!\w|:[\w:]|\.\d)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w+])\d(?:[ \-]?\d){12,18}(?!\w)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\w)|(?<![\w.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?!\w)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\w)|(?<![\w.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?!\w)"
+    # national numbers with spaces: 555 123 4567, then those that begin with 0: 030 1234567, 020 7946 0958, 02 9374 4000, 01 23 45 67 89
+    r"|(?<![\w+.\-])\d{3} \d{3} \d{4}(?!\w)|(?<![\w+.\-])0(?:\d{2,4}[ \-](?:\d{5,8}|\d{3,4}[ \-]\d{3,4})|\d \d{4} \d{4}|\d(?: \d{2}){4})(?!\w)",
     "secret": r"(?i:(?<!\w)(?:[\w\-]*(?:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key))\"? ?[=:] ?)[\"']?(?P<value>[A-Za-z0-9+/_\-]{8,})[\"']?|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 SINGLE = {k: re.compile(p) for k, p in PATTERNS.items()}
 CARD = SINGLE["card"]
+FORMS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
 #: Digits and the mark behind them; the places where a rejected span is cut; numbers as issuers give them.
 GROUP = re.compile(r"(\d+)(?!\w)(?:([ \-])(?=\d))?")
 NEXT = re.compile(r"[ \-:]+(?=\w)")
 ISSUED = re.compile(r"4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|(?:5[06-9]|6\d)\d{11,17}|2[2-7]\d{14,17}|3\d{13,18}")
-MAYBE = re.compile(r"[\d@]|(?i:token|secret|passw|pwd|key)")
+MAYBE = re.compile(r"[\d@]|::|(?i:token|secret|passw|pwd|key)")
 NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΩА-Я][\w'’\-]*"
 TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({NAME}(?: {NAME})?)")
 PAIR = re.compile(rf"(?<!\w)([A-Z][a-z]+) ({NAME})")
@@ -140,6 +145,24 @@ def _ip(key: bytes, text: str) -> str:
     return ".".join(map(str, octets[:keep] + [value >> 8 * i & 255 for i in reversed(range(4 - keep))]))
 
 
+def _ipv6(key: bytes, text: str) -> str:
+    """Permutes the digits; an IPv4 tail stays one, and the prefixes that only announce it stay."""
+    head, tail = text[: text.rindex(":") + 1], text[text.rindex(":") + 1 :]
+    if "." not in tail:
+        return permute_text(key, "ipv6", text, [HEX if c != ":" else None for c in text])
+    known = head.lower() in ("::", "::ffff:", "64:ff9b::")
+    return (head if known else permute_text(key, "ipv6", head, [HEX if c != ":" else None for c in head])) + _ip(key, tail)
+
+
+def _is_ipv6(text: str) -> bool:
+    """Whether it is an address; a compressed one begins with a whole group, as all assigned to hosts do, unlike 1::2 or ::1."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return "::" not in text or "." in text or len(text.split(":")[0]) == 4
+
+
 def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
@@ -182,7 +205,7 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     if kind == "ip":
         return _ip(key, text)
     if kind == "ipv6":
-        return permute_text(key, kind, text, [HEX if c != ":" else None for c in text])
+        return _ipv6(key, text)
     if kind == "card":
         return _card(key, text)
     if kind == "iban":
@@ -207,6 +230,8 @@ def _remembered(key: bytes, kind: str, text: str) -> str:
 def _valid(kind: str, text: str) -> bool:
     if kind == "ip":
         return all(int(x) < 256 for x in text.split("."))
+    if kind == "ipv6":
+        return _is_ipv6(text)
     if kind == "card":
         return luhn("".join(c for c in text if c.isdigit())) == 0
     if kind == "iban":
@@ -218,8 +243,8 @@ def _digits_of(text: str) -> str:
     return "".join(str(int(c)) for c in text if c.isdigit())
 
 
-def _cards(text: str, start: int, end: int, usual: bool = True) -> list[tuple[tuple[bool, int], int, int]]:
-    """((known issuer, digits), start, end) of the valid cards that begin at `start`, in the usual form or any."""
+def _cards(text: str, start: int, end: int, usual: bool = True) -> list[tuple[tuple[bool, bool, int], int, int]]:
+    """((known issuer, common form, digits), start, end) of the valid cards that begin at `start`, in the usual form or any."""
     out, lengths, mark, n, at = [], [], None, 0, start
     while m := GROUP.match(text, at, end):
         n += len(m[1])
@@ -230,8 +255,8 @@ def _cards(text: str, start: int, end: int, usual: bool = True) -> list[tuple[tu
         digits = _digits_of(text[start:at]) if n >= 13 else ""
         if digits and luhn(digits) == 0:
             known = bool(ISSUED.fullmatch(digits))
-            if known or lengths == [4] * 4:
-                out.append(((known, n), start, at))
+            if known or lengths == [4] * 4:  # 16 digits come before 19, whose last three are rather a code
+                out.append(((known, lengths in FORMS or len(lengths) == 1, n), start, at))
         # groups before the last have four digits or more, and one kind of mark stands between them
         if not m[2] or (usual and (lengths[-1] < 4 or (mark and m[2] != mark))):
             break
