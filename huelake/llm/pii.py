@@ -4,13 +4,16 @@ Detected entities get keyed replacements of the same type, script, gender and fo
 A replacement is a keyed permutation of all strings of the entity's format (a Feistel
 network over the format's characters, conjugating a shift), so without any shared state
 equal entities stay equal across the whole corpus, distinct ones stay distinct, and none
-maps to itself. Given names are permuted within the list of their gender; other names are
+maps to itself; `replace` raises if one ever did, so no detected entity stays in a text.
+Given names are permuted within the list of their gender; other names are
 permuted letter by letter, and a result that falls on a listed name is permuted again, so
 the two ranges cannot collide. `collisions` checks distinctness over a corpus.
 
 Defined results: null text stays null with no spans; text without entities comes back
-unchanged; case variants of an entity are one entity and keep their own case; columns
-named pii_spans are replaced; everything else passes through.
+unchanged; case variants of an entity are one entity and keep their own case; repeated
+rows are replaced one by one and alike; of overlapping entities the one that starts first
+counts, of two that start together the longer; columns named pii_spans are replaced;
+everything else passes through.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +30,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 # Given names by usual gender, and honorifics.
-FEMALE = "Alice Amelia Andrea Angela Anna Barbara Carla Caroline Charlotte Christine Claire Clara Diana Elena Elizabeth Emily Emma Eva Hannah Helen Ingrid Isabella Jane Jessica Julia Karen Laura Linda Lucy Maria Marie Martha Mary Monica Nancy Olivia Patricia Paula Rachel Sandra Sarah Sofia Susan Teresa Victoria".split()
-MALE = "Adam Albert Alexander Andrew Anthony Arthur Benjamin Brian Carlos Charles Christopher Daniel David Edward Eric Frank Frederick George Hans Henry Hugo Jack James Jean Johann John Joseph Juan Karl Kevin Louis Luis Mark Martin Matthew Michael Oliver Patrick Paul Peter Philip Pierre Richard Robert Stephen Thomas Walter William".split()
+FEMALE = "Agnes Alice Amanda Amelia Andrea Angela Anja Anna Barbara Beatrice Birgit Brigitte Camille Carla Carmen Caroline Catherine Charlotte Chiara Christine Claire Clara Claudia Dagmar Diana Dorothy Elena Elisabeth Elizabeth Ella Emily Emma Esther Eva Fatima Florence Francesca Gabriela Giulia Greta Hannah Heidi Helen Helga Inge Ingrid Irene Isabel Isabella Jane Jennifer Jessica Joanna Juana Julia Julie Karen Katharina Katherine Laura Lena Leonie Linda Lucia Lucy Luisa Manon Margaret Maria Marie Marta Martha Martina Mary Mathilde Monica Monika Nadia Nancy Natalie Nicole Nina Olga Olivia Patricia Paula Petra Pilar Rachel Rebecca Renate Rosa Ruth Sandra Sarah Sophie Sofia Susan Susanne Sylvie Teresa Ursula Valentina Victoria".split()
+MALE = "Adam Ahmed Alan Albert Alejandro Alessandro Alexander Andreas Andrew Antoine Antonio Anthony Arthur Benjamin Bernd Bernhard Brian Bruno Carlos Charles Christian Christopher Daniel David Dieter Diego Dmitri Edward Eric Ernst Felipe Fernando Francisco Frank Franz Frederick Friedrich Gabriel George Georg Gerhard Guillaume Hans Heinrich Helmut Henri Henry Hugo Ivan Jack Jacques James Javier Jean Johann Johannes John Jorge Joseph Juan Karl Kevin Klaus Kurt Laurent Lorenzo Louis Luca Luis Manuel Marco Mark Martin Matteo Matthew Michael Michel Miguel Mohammed Nicolas Oliver Oskar Otto Pablo Patrick Paul Pedro Peter Philip Philippe Pierre Rafael Richard Robert Roberto Rudolf Samuel Sebastian Sergio Stefan Stephen Thomas Tobias Ulrich Vincent Walter William Wolfgang Xavier Yves".split()
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mademoiselle Señor Señora Señorita".split()
+# Words behind which two capitalised words are taken as a person, and calling codes of one and two digits (all others have three).
+CUES = "Dear|[Cc]ontact|[Aa]ttn|[Aa]ttention|[Nn]ame is|[Nn]amed|[Ss]igned|[Ss]igned by|[Ww]rite to|[Ww]rote to|[Aa]sk for|[Ss]peak to|[Ss]incerely|[Rr]egards|Liebe|Lieber|Cher|Chère|Estimado|Estimada|Querido|Querida"
+ONE_DIGIT = "1 7".split()
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 KINDS = "email ipv6 ip iban card ssn phone secret".split()
 G, V4 = "[0-9A-Fa-f]{1,4}", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
@@ -42,7 +50,7 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\w)|(?<![\w.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?!\w)"
     # national numbers with spaces: 555 123 4567, then those that begin with 0: 030 1234567, 020 7946 0958, 02 9374 4000, 01 23 45 67 89
     r"|(?<![\w+.\-])\d{3} \d{3} \d{4}(?!\w)|(?<![\w+.\-])0(?:\d{2,4}[ \-](?:\d{5,8}|\d{3,4}[ \-]\d{3,4})|\d \d{4} \d{4}|\d(?: \d{2}){4})(?!\w)",
-    "secret": r"(?i:(?<!\w)(?:[\w\-]*(?:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key))\"? ?[=:] ?)[\"']?(?P<value>[A-Za-z0-9+/_\-]{8,})[\"']?|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?!\w)",
+    "secret": r"(?i:(?<!\w)(?:[\w\-]*(?:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key))\"? ?[=:] ?)[\"']?(?P<value>[^\s\"'<>,;]{7,}[^\s\"'<>,;.:!?)\]}])[\"']?|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 SINGLE = {k: re.compile(p) for k, p in PATTERNS.items()}
@@ -55,6 +63,7 @@ ISSUED = re.compile(r"4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|(?:5[06-9]|6\d)\d{11,17
 MAYBE = re.compile(r"[\d@]|::|(?i:token|secret|passw|pwd|key)")
 NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΩА-Я][\w'’\-]*"
 TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({NAME}(?: {NAME})?)")
+CUED = re.compile(rf"(?<!\w)(?:{CUES}),?:? ({NAME} {NAME})")
 PAIR = re.compile(rf"(?<!\w)([A-Z][a-z]+) ({NAME})")
 GIVEN = {**{n.lower(): FEMALE for n in FEMALE}, **{n.lower(): MALE for n in MALE}}
 
@@ -66,6 +75,26 @@ RANGES = ["את", "ءي", "٠٩", "۰۹", "०९", "अह", "กฮ", "ぁゖ"
 CLASS = {c: a for a in [*ALPHABETS, *("".join(map(chr, range(ord(r[0]), ord(r[1]) + 1))) for r in RANGES)] for c in a}
 
 
+@lru_cache(maxsize=1 << 14)
+def alphabet(c: str) -> str | None:
+    """The characters that `c`, a folded letter or digit, is permuted among: those of its class, else of its kind in its part of Unicode."""
+    if c in CLASS:
+        return CLASS[c]
+    if not c.isalnum():
+        return None
+    trait = lambda x: (unicodedata.category(x), x.lower() == x == x.upper().lower())
+    for span in (1 << 6, 1 << 8, 1 << 12, 1 << 16):
+        first = ord(c) // span * span
+        made = "".join(x for x in map(chr, range(first, first + span)) if x not in CLASS and trait(x) == trait(c))
+        if len(made) > 1:
+            return made
+    return None
+
+
+def alphabets(text: str) -> list[str | None]:
+    return [alphabet(c.lower()) if len(c.lower()) == 1 else None for c in text]
+
+
 class Permutation:
     """A keyed permutation of range(n) without fixed points (n of 2 or more)."""
 
@@ -179,11 +208,17 @@ def _name(key: bytes, name: str) -> str:
     if known:
         made = known[Permutation(key, "given" + known[0], len(known))([n.lower() for n in known].index(name.lower()))]
         return made.upper() if name.isupper() and len(name) > 1 else made
+    made = name
     while True:
-        made = permute_text(key, "name", name, [CLASS.get(c.lower()) for c in name])
+        made = permute_text(key, "name", made, alphabets(made))
         if made.lower() not in GIVEN:
-            return made
-        name = made
+            break
+    return made if made != name else permute_text(key, "other name", name, alphabets(name))  # the names between led back to it
+
+
+def calling_code(digits: str) -> int:
+    """The digits of a full number that are its country's."""
+    return 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
 
 
 def _scripted(key: bytes, kind: str, text: str) -> str:
@@ -201,7 +236,10 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return _scripted(key, kind, text)
     if kind == "email":
         at = text.rindex(".")
-        return permute_text(key, kind, text[:at], [CLASS.get(c.lower()) for c in text[:at]]) + text[at:]
+        made = permute_text(key, kind, text[:at], alphabets(text[:at]))
+        if made == text[:at]:  # no letter and no digit in it
+            made = permute_text(key, kind, made, ["_-" if c in "_-" else None for c in made])
+        return made + text[at:]
     if kind == "ip":
         return _ip(key, text)
     if kind == "ipv6":
@@ -213,11 +251,10 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     if kind == "ssn":
         return _digits(key, kind, text, 0)
     if kind == "phone":
-        country = re.match(r"\+\d+", text)
-        return _digits(key, kind, text, len(country[0]) if country else 1)
+        return _digits(key, kind, text, calling_code(_digits_of(text)) if text.startswith("+") else 1)
     if kind == "secret":
         hexes = re.fullmatch(r"(?=.*\d)(?:[0-9a-f]+|[0-9A-F]+)", text)
-        return permute_text(key, kind, text, [HEX] * len(text) if hexes else [CLASS.get(c.lower()) for c in text])
+        return permute_text(key, kind, text, [HEX] * len(text) if hexes else alphabets(text))
     return _name(key, text)
 
 
@@ -236,6 +273,8 @@ def _valid(kind: str, text: str) -> bool:
         return luhn("".join(c for c in text if c.isdigit())) == 0
     if kind == "iban":
         return len(text.replace(" ", "")) >= 15 and _iban_rest(text.replace(" ", "")) == 1
+    if kind == "secret":  # rows of marks hide nothing
+        return any(c.isalnum() for c in text)
     return True
 
 
@@ -319,7 +358,7 @@ def _found(text: str) -> list[tuple[str, int, int]]:
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities, in order and without overlaps."""
     found = _found(text) if MAYBE.search(text) else []
-    people = [m.span(1) for m in TITLED.finditer(text)] + [m.span() for m in PAIR.finditer(text) if m[1].lower() in GIVEN]
+    people = [m.span(1) for regex in (TITLED, CUED) for m in regex.finditer(text)] + [m.span() for m in PAIR.finditer(text) if m[1].lower() in GIVEN]
     if people:
         parts = {w for a, b in people for w in text[a:b].split(" ")}
         mention = re.compile(rf"(?<![\w'’\-])(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?![\w’\-])")
@@ -337,7 +376,9 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, i
     if not spans:
         return text, []
     out, at = [], 0
-    for _, a, b, new in spans:
+    for kind, a, b, new in spans:
+        if new == text[a:b]:
+            raise ValueError(f"an entity of kind {kind} has no surrogate but itself")
         out += [text[at:a], new]
         at = b
     return "".join(out) + text[at:], spans
@@ -364,9 +405,19 @@ def replace_pii(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame
     return plain.mapInArrow(run, schema)
 
 
-def collisions(docs: DataFrame, replaced: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Surrogates that stand for two entities or more, over unique doc_ids; none are expected."""
-    spans = replaced.select(doc_id, F.explode("pii_spans").alias("s"))
-    entity = F.lower(F.substring("original", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
-    pairs = docs.select(doc_id, F.col(text).alias("original")).join(spans, doc_id).select("s.kind", F.lower("s.surrogate").alias("surrogate"), entity.alias("entity"))
-    return pairs.groupBy("kind", "surrogate").agg(F.countDistinct("entity").alias("entities")).where("entities > 1")
+def collisions(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame:
+    """(kind, entities, surrogates, shared): distinct entities and surrogates of each kind, and surrogates
+    that stand for two entities or more; none are expected. Entities leave their text as hashes only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = set()
+            for t in batch.column(0):
+                value = t.as_py()
+                pairs.update((kind, hashlib.blake2b(value[a:b].lower().encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), new.lower()) for kind, a, b, new in replace(value, key)[1])
+            made = sorted(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.string()) for k in range(3)], ["kind", "entity", "surrogate"])
+
+    pairs = docs.select(F.col(text)).mapInArrow(run, "kind string, entity string, surrogate string").distinct()
+    each = pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("entities"))
+    return each.groupBy("kind").agg(F.sum("entities").alias("entities"), F.count(F.lit(1)).alias("surrogates"), F.count_if(F.col("entities") > 1).alias("shared"))

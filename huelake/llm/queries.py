@@ -66,6 +66,11 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("n_entities", F.size("pii_spans").cast("long"))
 
 
+def pii_surrogate_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of op8's surrogates over all documents: entities and surrogates of each kind, and how many stand for two."""
+    return pii.collisions(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_pii_surrogates": op8_pii_surrogates,
+    "pii_surrogate_collisions": pii_surrogate_collisions,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
