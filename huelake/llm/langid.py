@@ -1,7 +1,8 @@
 """Language identification with segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's
-likelihood is the sum over all ways to cut it into pieces, found by a forward pass; the
+likelihood is the sum over all ways to cut it into pieces, found by a forward pass in
+logarithms, so that no length underflows; the
 probabilities are fitted by expectation-maximisation over the same sums. A text's score
 is the sum over its words, with equal prior odds of the languages.
 
@@ -9,14 +10,16 @@ Fitting reads a bounded sample (`per_lang` rows of each language, texts up to
 `max_chars`) on the driver; scoring is one pass over whole texts, where a worker
 remembers the sums of words it has met (a memory, not a limit: others are summed anew).
 
-Defined results: null text or text without a letter is `und` with score 0; so is every
-text if there is nothing to learn from; ties go to the language that sorts first; words
-of over 48 letters are scored as runs of 48; other columns are ignored.
+Defined results: null text or text without a letter is `und` with score 0 (numerals such
+as half signs or numbers in circles are no letters); so is every
+text if there is nothing to learn from; ties go to the language that sorts first; equal
+rows have equal results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 48
+#: Characters that a pattern's \\w takes, but that are neither letters nor decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+#: Longest word, in letters, that a worker remembers.
+REMEMBERED = 48
+#: Words times letters of a lattice; bounds a task's memory.
+CELLS = 1 << 17
 #: Probability of a letter outside the vocabulary, in every language.
 UNKNOWN = 1e-6
 MEMORY = 600_000
@@ -33,11 +41,20 @@ UND = "und"
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case letter runs, the long ones cut."""
-    words = LETTERS.findall(text.lower())
-    if max(map(len, words), default=0) <= LONGEST:
-        return words
-    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    """Lower-case letter runs."""
+    return LETTERS.findall(text.lower())
+
+
+def portions(words: list[str]) -> Iterator[list[str]]:
+    """The words by length, in groups of about CELLS letters when padded to the longest."""
+    group: list[str] = []
+    for word in sorted(words, key=len):
+        if group and (len(group) + 1) * (len(word) + 1) > CELLS:
+            yield group
+            group = []
+        group.append(word)
+    if group:
+        yield group
 
 
 def load_pieces(path: str) -> list[str]:
@@ -88,33 +105,40 @@ class Lattice:
                 heads = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                 yield k, arcs, w[heads], heads
 
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """(words, positions, languages): the summed probability of all cuts up to a position."""
-        alpha = np.zeros((self.n, int(self.length.max(initial=0)) + 1, prob.shape[1]))
-        alpha[:, 0] = 1.0
+    def forward(self, log_prob: np.ndarray) -> np.ndarray:
+        """(words, positions, languages): the logarithm of the summed probability of all cuts up to a position."""
+        alpha = np.full((self.n, int(self.length.max(initial=0)) + 1, log_prob.shape[1]), -np.inf)
+        alpha[:, 0] = 0.0
         for k, arcs, w, heads in self._slices(self.end):
-            alpha[w, k] = np.add.reduceat(alpha[self.word[arcs], self.start[arcs]] * prob[self.piece[arcs]], heads)
+            alpha[w, k] = summed(alpha[self.word[arcs], self.start[arcs]] + log_prob[self.piece[arcs]], heads)
         return alpha
 
-    def totals(self, prob: np.ndarray) -> np.ndarray:
+    def totals(self, log_prob: np.ndarray) -> np.ndarray:
         """(words, languages): log likelihood of each word."""
-        return np.log(self.forward(prob)[np.arange(self.n), self.length])
+        return self.forward(log_prob)[np.arange(self.n), self.length]
 
-    def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def expected(self, log_prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(pieces, languages): how often each piece is expected in words met `counts` times."""
-        alpha = self.forward(prob)
-        beta = np.zeros_like(alpha)
-        beta[np.arange(self.n), self.length] = 1.0
+        alpha = self.forward(log_prob)
+        beta = np.full_like(alpha, -np.inf)
+        beta[np.arange(self.n), self.length] = 0.0
         whole = alpha[np.arange(self.n), self.length]
         for k, arcs, w, heads in reversed(list(self._slices(self.start))):
-            beta[w, k] += np.add.reduceat(beta[self.word[arcs], self.end[arcs]] * prob[self.piece[arcs]], heads)
-        share = alpha[self.word, self.start] * prob[self.piece] * beta[self.word, self.end] * (counts / whole)[self.word]
-        out = np.empty_like(prob)
-        for lang in range(prob.shape[1]):
-            out[:, lang] = np.bincount(self.piece, weights=share[:, lang], minlength=len(prob))
+            beta[w, k] = summed(beta[self.word[arcs], self.end[arcs]] + log_prob[self.piece[arcs]], heads)
+        share = np.exp(alpha[self.word, self.start] + log_prob[self.piece] + beta[self.word, self.end] - whole[self.word]) * counts[self.word]
+        out = np.empty_like(log_prob)
+        for lang in range(log_prob.shape[1]):
+            out[:, lang] = np.bincount(self.piece, weights=share[:, lang], minlength=len(log_prob))
         return out
 
 
+def summed(logs: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over the runs of rows that begin at `heads`."""
+    most = np.maximum.reduceat(logs, heads)
+    runs = np.diff(np.append(heads, len(logs)))
+    return most + np.log(np.add.reduceat(np.exp(logs - np.repeat(most, runs, axis=0)), heads))
+
+
 class Model:
     """Languages with their piece probabilities (the last row is the unknown letter)."""
 
@@ -134,35 +158,41 @@ class Model:
             self._longest = max(map(len, self.pieces), default=1)
             self._at: dict[str, int] = {}
             self._sums = np.zeros((0, len(self.langs)))
+            self._log = np.log(self.prob)
         return self._index
 
     def _learn(self, words: list[str]) -> None:
         index = self.index
-        made = [Lattice(words[i : i + 4096], index, self._longest).totals(self.prob) for i in range(0, len(words), 4096)]
         used = len(self._at)
-        self._at.update(zip(words, range(used, used + len(words))))
         need = used + len(words)
         if need > len(self._sums):
-            self._sums = np.concatenate((self._sums[:used], *made, np.zeros((need, len(self.langs)))))
-        else:
-            self._sums[used:need] = np.concatenate(made)
+            self._sums = np.concatenate((self._sums[:used], np.zeros((2 * need - used, len(self.langs)))))
+        for group in portions(words):
+            self._at.update(zip(group, range(used, used + len(group))))
+            self._sums[used : used + len(group)] = Lattice(group, index, self._longest).totals(self._log)
+            used += len(group)
 
     def log_likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) summed over the words, and the number of words."""
         _ = self.index
         if len(self._at) > MEMORY:
             self._at, self._sums = {}, np.zeros((0, len(self.langs)))
+        out = np.zeros((len(texts), len(self.langs)))
         parts = [words_of(t) if t else [] for t in texts]
         new: set[str] = set()
         for words in parts:
             new.update(words)
         new.difference_update(self._at)
-        if new:
-            self._learn(sorted(new))
-        out = np.zeros((len(texts), len(self.langs)))
-        for i, words in enumerate(parts):
+        long = {w for w in new if len(w) > REMEMBERED}
+        if new > long:
+            self._learn(sorted(new - long))
+        sums = {w: x for group in portions(sorted(long)) for w, x in zip(group, Lattice(group, self.index, self._longest).totals(self._log))}
+        for i, every in enumerate(parts):
+            words = [w for w in every if w not in sums] if sums else every
+            if len(words) < len(every):
+                out[i] = sum(sums[w] for w in every if w in sums)
             if words:
-                out[i] = self._sums[np.fromiter(map(self._at.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+                out[i] += self._sums[np.fromiter(map(self._at.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
         return out, np.array([len(w) for w in parts], dtype=np.int64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -186,11 +216,11 @@ def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = 4, smoothi
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
     index = {p: i for i, p in enumerate(pieces)}
     longest = max(map(len, pieces))
-    parts = [(Lattice(words[i : i + 8192], index, longest), np.array([[counters[g][w] for g in langs] for w in words[i : i + 8192]], dtype=float)) for i in range(0, len(words), 8192)]
+    parts = [(Lattice(group, index, longest), np.array([[counters[g][w] for g in langs] for w in group], dtype=float)) for group in portions(words)]
     prob = np.full((len(pieces) + 1, len(langs)), 1.0 / len(pieces))
     prob[-1] = UNKNOWN
     for _ in range(rounds):
-        seen = sum(lattice.expected(prob, counts) for lattice, counts in parts)[:-1] + smoothing
+        seen = sum(lattice.expected(np.log(prob), counts) for lattice, counts in parts)[:-1] + smoothing
         prob = np.vstack((seen / seen.sum(axis=0) * (1 - UNKNOWN), np.full(len(langs), UNKNOWN)))
     return Model(langs, pieces, prob)
 

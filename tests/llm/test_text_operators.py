@@ -300,7 +300,7 @@ def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(1)
     prob = rng.random((len(pieces) + 1, 2))
     words = ["a", "abba", "bab", "xaby", "b"]
-    made = np.exp(langid.Lattice(words, index, 3).totals(prob))
+    made = np.exp(langid.Lattice(words, index, 3).totals(np.log(prob)))
     assert np.allclose(made, [[all_cuts(w, prob[:, k], index) for k in range(2)] for w in words])
 
 
