@@ -3,16 +3,21 @@
 A tokenizer and a tree builder with the implied tags of HTML make a tree; visibility
 rules drop what a browser would not show; a renderer writes all visible text with the
 spacing of blocks, list markers, preformatted text, and tables in aligned cells. All
-three are loops over explicit stacks, so depth is not limited.
+three are loops over explicit stacks, so depth is not limited; the parser looks up open
+elements by name, so time grows with a page's length and not with its depth.
 
 Defined results: null html gives null text; a page without visible text gives an empty
 one; broken markup is closed as a browser would; rows are independent, so repeated rows
-have equal results; columns named text are replaced, others pass through.
+have equal results; text is indented by at most MOST_INDENT columns, cells of a table
+wider than MOST_WIDTH are separated but not aligned, and tables nested deeper than
+MOST_TABLES are written cell by cell as blocks, all with their whole text; columns named
+text are replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,6 +43,7 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption html body button object marquee template".split())
 
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 #: What follows a tag's name, by the standard's states: a quote opens a value only behind '=' and its spaces, elsewhere it belongs
 #: to a name or an unquoted value; '=' at a name's start belongs to the name. A tag that the page's end cuts off is dropped.
 W = r" \t\n\r\f"
@@ -47,6 +53,7 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(?:/(?P<close>[A-Za
 ATTRIBUTE = re.compile(rf"([^{W}/>][^{W}/>=]*+)(?:[{W}]*+=[{W}]*+(?:\"([^\"]*)\"|'([^']*)'|([^{W}>\"'][^{W}>]*+))?+)?+")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|font-size\s*:\s*0(?:px|em|%)?\s*(?:;|$)|opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+MOST_INDENT, MOST_WIDTH, MOST_TABLES = 64, 4096, 16
 
 
 class Node:
@@ -56,34 +63,75 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class Open:
+    """The open elements, innermost last, with the places of each name among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes: list[Node | None] = [root]  # None: closed while blocks that opened inside it are still open
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.top.children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, names) -> int:
+        """Place of the innermost element of these names; 0, the root's, if there is none."""
+        places = self.places
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def pop(self) -> None:
+        node = self.nodes.pop()
+        self.places[node.tag].pop()
+        if node.tag in BLOCK:
+            self.blocks.pop()
+        while self.nodes[-1] is None:
+            self.nodes.pop()
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.pop()
+
+    def close(self, names, bounds) -> bool:
+        """Closes down to the innermost element of `names`, unless one of `bounds` is inside of it."""
+        at = self.last(names)
+        if not at or at < self.last(bounds):
+            return False
+        self.cut(at)
+        return True
+
+    def drop(self, place: int) -> None:
+        """Closes the innermost element of its name alone."""
+        self.places[self.nodes[place].tag].pop()
+        self.nodes[place] = None
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("head title meta link script style base template noscript".split())
+TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+CELL_BOUNDS = frozenset("td th caption".split())
+
+
 def parse(html: str) -> Node:
     """The tree of a page; text is in `children` as strings."""
     root = Node("html", {})
-    body = root
-    stack = [root]
-
-    def pop_to(names: set | frozenset, bounds: set | frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in bounds:
-                return
-
-    def push(node: Node) -> None:
-        stack[-1].children.append(node)
-        stack.append(node)
+    stack = Open(root)
 
     def text(value: str) -> None:
         if value:
-            top = stack[-1]
-            if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and value.strip():  # text in a table, outside of its cells, stands before it
-                at = max(k for k in range(len(stack)) if stack[k].tag == "table") if any(s.tag == "table" for s in stack) else 0
-                if at:
-                    parent = stack[at - 1]
-                    parent.children.insert(len(parent.children) - 1, unescape(value))
-                    return
-            top.children.append(unescape(value))
+            if stack.top.tag in TABLE_PARTS and value.strip() and (at := stack.last(("table",))):
+                # text in a table, outside of its cells, stands before it; what encloses an open table is never closed alone
+                outer = stack.nodes[at - 1].children
+                outer.insert(len(outer) - 1, unescape(value))
+            else:
+                stack.top.children.append(unescape(value))
 
     at, n = 0, len(html)
     while at < n:
@@ -100,31 +148,31 @@ def parse(html: str) -> Node:
             attrs = {a.lower(): unescape(x or y or z) for a, x, y, z in ATTRIBUTE.findall(m["rest"])} if m["rest"] and not m["rest"].isspace() else {}
             if tag in ("html", "body"):
                 for k, v in attrs.items():
-                    body.attrs.setdefault(k, v)
+                    root.attrs.setdefault(k, v)
                 continue
-            if tag not in ("head", "title", "meta", "link", "script", "style", "base", "template", "noscript"):
-                pop_to({"head"}, set())
-            if tag in CLOSES_P:
-                pop_to({"p"}, SCOPE)
+            if tag not in IN_HEAD:
+                stack.close(("head",), ())
+            if tag in CLOSES_P and stack.places.get("p"):
+                stack.close(("p",), SCOPE)
             if tag in IMPLIED:
                 names, bounds = IMPLIED[tag]
-                while any(s.tag in names for s in stack[max((k for k in range(len(stack)) if stack[k].tag in bounds), default=0) :]):
-                    pop_to(names, bounds)
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                while stack.close(names, bounds):
+                    pass
+            if tag in HEADINGS and stack.top.tag in HEADINGS:
                 stack.pop()
             if tag in ("a", "button", "nobr"):
-                pop_to({tag}, SCOPE)
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                push(Node("tr", {}))
+                stack.close((tag,), SCOPE)
+            if tag in ("td", "th") and stack.top.tag in ("table", "tbody", "thead", "tfoot"):
+                stack.push(Node("tr", {}))
             node = Node(tag, attrs)
-            push(node)
-            if tag in VOID:
-                stack.pop()
-            elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            if tag in VOID or tag in RAW:
+                stack.top.children.append(node)
+            else:
+                stack.push(node)
+            if tag in RAW:
+                end = RAW_END[tag].search(html, at)
                 raw = html[at : end.start()] if end else html[at:]
                 node.children.append(unescape(raw) if tag in ("title", "textarea") else raw)
-                stack.pop()
                 if not end:
                     break
                 close = html.find(">", end.start())
@@ -132,14 +180,14 @@ def parse(html: str) -> Node:
         elif m["close"]:
             tag = m["close"].lower()
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not any(s.tag == "p" for s in stack):
-                stack[-1].children.append(Node("p", {}))
-            elif tag in FORMATTING and (at_ := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)) and any(x.tag in BLOCK for x in stack[at_:]):
-                if not any(x.tag in SCOPE for x in stack[at_:]):
-                    del stack[at_]  # the blocks that opened inside stay open
+                stack.top.children.append(Node("br", {}))
+            elif tag == "p" and not stack.places.get("p"):
+                stack.top.children.append(Node("p", {}))
+            elif tag in FORMATTING and (place := stack.last((tag,))) and stack.blocks and stack.blocks[-1] > place:
+                if stack.last(SCOPE) < place:
+                    stack.drop(place)  # the blocks that opened inside stay open
             elif tag not in ("html", "body"):
-                pop_to({tag}, frozenset("td th caption table".split()) - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset({"table"}) - {tag})
+                stack.close((tag,), ({"table"} if tag in TABLE_PARTS else CELL_BOUNDS | {"table"}) - {tag})
     return root
 
 
@@ -186,60 +234,90 @@ class Flow:
             self.gap = False
             self.lines.append((self.indent + self.mark + made).rstrip() if made else "")
             if made and self.mark:
-                self.indent += " " * len(self.mark)
+                self.deeper(" " * len(self.mark))
                 self.mark = ""
 
-    def text(self) -> str:
+    def deeper(self, by: str) -> None:
+        if len(self.indent) < MOST_INDENT:
+            self.indent += by
+
+    def done(self) -> list[str]:
         self.line()
-        return "\n".join(self.lines)
-
-
-def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Aligned lines of cells (text, columns spanned, rows spanned)."""
-    grid: list[list[list[str]]] = []
-    held: dict[int, int] = {}
-    widths: list[int] = []
-    for row in rows:
-        out: list[list[str]] = []
-        c = 0
-        for value, span, down in row:
-            while held.get(c, 0):
-                held[c] -= 1
-                out.append([])
-                c += 1
-            lines = value.split("\n") if value else []
-            for k in range(span):
-                out.append(lines if k == 0 else [])
-                if down > 1:
-                    held[c] = down - 1
-                c += 1
-            if span == 1:
-                widths += [0] * (c - len(widths))
-                widths[c - 1] = max([widths[c - 1], *map(len, lines)])
-        while held.get(c, 0):
-            held[c] -= 1
-            out.append([])
-            c += 1
-        widths += [0] * (c - len(widths))
+        return self.lines
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of cells (lines, columns spanned, rows spanned), aligned unless the table is wider than MOST_WIDTH.
+
+    Only cells take time and place, however many columns or rows they span.
+    """
+    held: list[tuple[int, int, int]] = []  # (first column, column behind, row behind) of cells that reach down, by column
+    widths: dict[int, int] = {}
+    grid: list[list[tuple[int, int, list[str]]]] = []
+    for number, row in enumerate(rows):
+        held = [h for h in held if h[2] > number]
+        column, i, out, new = 0, 0, [], []
+        for lines, span, down in row:
+            while i < len(held) and held[i][0] <= column:
+                column = max(column, held[i][1])
+                i += 1
+            if any(lines):
+                out.append((column, column + span, lines))
+                widths[column] = max(widths.get(column, 0), max(map(len, lines)) if span == 1 else 0)
+            if down > 1:
+                new.append((column, column + span, min(number + down, len(rows))))
+            column += span
         grid.append(out)
-    used = [w > 0 or any(len(r) > c and r[c] for r in grid) for c, w in enumerate(widths)]
+        if new:
+            merged: list[tuple[int, int, int]] = []
+            for h in sorted(held + new):
+                if merged and merged[-1][1] == h[0] and merged[-1][2] == h[2]:
+                    merged[-1] = (merged[-1][0], h[1], h[2])
+                else:
+                    merged.append(h)
+            held = merged
+    used, starts, wide = sorted(widths), [], 0
+    for column in used:
+        starts.append(wide)
+        wide += widths[column] + 2
+    aligned = wide <= MOST_WIDTH
+    starts.append(1 << 60)  # behind the last column is room
     made = []
     for row in grid:
-        for k in range(max([1, *map(len, row)])):
-            cells = [(row[c][k] if c < len(row) and k < len(row[c]) else "").ljust(widths[c]) for c in range(len(widths)) if used[c]]
-            made.append("  ".join(cells).rstrip())
-    return [m for i, m in enumerate(made) if m]
+        placed = [(starts[bisect_left(used, a)], starts[bisect_left(used, b)], lines) for a, b, lines in row]
+        for k in range(max((len(lines) for _, _, lines in placed), default=0)):
+            line, shift = "", 0
+            for start, behind, lines in placed:
+                value = lines[k] if k < len(lines) else ""
+                if value:
+                    line = line.ljust(start + shift) + value if aligned else f"{line}  {value}" if line else value
+                    shift += max(0, len(value) - (behind - start - 2))  # what a spanning cell has too much
+            line = line.rstrip()
+            if line:
+                made.append(line)
+    return made
+
+
+#: Fixed values of the standard: the most columns and rows that a cell spans.
+MOST_SPAN = {"colspan": 1000, "rowspan": 65534}
+NUMBER = re.compile(rf"[{W}]*\+?([0-9]+)")
 
 
 def _span(node: Node, name: str) -> int:
-    value = node.attrs.get(name, "")
-    return min(max(int(value), 1), 1000) if value.isdecimal() and len(value) < 6 else 1
+    m = NUMBER.match(node.attrs.get(name, ""))
+    if not m:
+        return 1
+    value = int(m[1]) if len(m[1].lstrip("0")) < 7 else MOST_SPAN[name]
+    if not value:  # a cell that reaches down to the end of its table
+        return MOST_SPAN[name] if name == "rowspan" else 1
+    return min(value, MOST_SPAN[name])
 
 
 def render(root: Node) -> str:
     """All visible text. The work list holds what is still to do, innermost last."""
     flows = [Flow()]
-    tables: list[list[list[tuple[str, int, int]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
+    depth = 0  # open tables, with those that are written as blocks
     lists: list[list] = []  # [kind, next number]
     work: list[tuple] = [("node", root, False)]
     while work:
@@ -268,10 +346,17 @@ def render(root: Node) -> str:
         if tag == "table":
             flow.line()
             flow.gap = True
-            tables.append([])
+            depth += 1
+            if depth <= MOST_TABLES:
+                tables.append([])
 
             def end_table(outer: Flow) -> None:
+                nonlocal depth
                 outer.line()
+                depth -= 1
+                if depth >= MOST_TABLES:
+                    outer.gap = True
+                    return
                 lines = table_lines(tables.pop())
                 for line in lines:
                     outer.now = [line]
@@ -279,16 +364,16 @@ def render(root: Node) -> str:
                 outer.gap = True
 
             work.append(("end", end_table, False))
-        elif tag == "tr" and tables:
+        elif tag == "tr" and 0 < depth <= MOST_TABLES:
             tables[-1].append([])
-        elif tag in ("td", "th") and tables:
+        elif tag in ("td", "th") and 0 < depth <= MOST_TABLES:
             if not tables[-1]:
                 tables[-1].append([])
             flows.append(Flow())
 
             def end_cell(inner: Flow, node=node) -> None:
                 flows.pop()
-                tables[-1][-1].append((inner.text(), _span(node, "colspan"), _span(node, "rowspan")))
+                tables[-1][-1].append((inner.done(), _span(node, "colspan"), _span(node, "rowspan")))
 
             work.append(("end", end_cell, False))
         elif tag in BLOCK:
@@ -307,7 +392,7 @@ def render(root: Node) -> str:
                 flow.mark = f"{number[1]}. " if number[0] == "ol" else "- "
                 number[1] += 1
             elif tag in ("blockquote", "dd"):
-                flow.indent += "    " if tag == "dd" else "  "
+                flow.deeper("    " if tag == "dd" else "  ")
             if tag == "hr":
                 flow.gap = True
 
@@ -330,7 +415,7 @@ def render(root: Node) -> str:
         if keep and children and isinstance(children[0], str) and tag == "pre" and children[0].startswith("\n"):
             children = [children[0][1:], *children[1:]]
         work.extend(("node", c, keep) for c in reversed(children))
-    return flows[0].text().strip("\n")
+    return "\n".join(flows[0].done()).strip("\n")
 
 
 def page_text(html: str | None) -> str | None:
