@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import contextlib
+import ctypes
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Largest table, in rows, that `attach` broadcasts; above it the join is salted.
 BROADCAST_ROWS = 20_000
@@ -38,3 +43,24 @@ def attach(left: DataFrame, table: DataFrame, key: str, spread: str, limit: int
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; the split of labelled rows."""
     return F.crc32(F.col(column).cast("string")) % n
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives through several stages, and its heap would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slots(spark: SparkSession, n: int, most: int = 4096) -> Callable[[Column], Column]:
+    """Maps a number below n to an integer that hash partitioning into n puts in a partition of its own.
+
+    Beyond `most` numbers it is the number itself: with so many, chance spreads them well enough.
+    """
+    if n <= most:
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        found = dict(spark.range(0, 32 * n, 1, 1).groupBy(place.alias("place")).agg(F.min("id")).collect())
+        if len(found) == n:
+            table = F.lit([found[i] for i in range(n)])
+            return lambda part: F.element_at(table, part.cast("int") + 1).cast("int")
+    return lambda part: part.cast("int")

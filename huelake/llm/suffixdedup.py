@@ -2,21 +2,23 @@
 
 Every string of `length` bytes has an anchor: the 16 bytes of smallest hash in it. Equal
 strings have equal anchors, so only places of one anchor can match. Neighbouring strings
-of one anchor are held together as a stretch. 1) Stretches go to shards by anchor as
-hashes only, in packed arrays; a stretch whose hash an earlier document holds is covered.
-Two places of one anchor can only share a string if they also share the 17 bytes before
-the anchor or the 17 after it, so those that share either with another document, but
-differ in bytes, are asked for. 2) The asked
-stretches go to shards as bytes. In each, the stretches of an anchor are halved by
-document again and again; the earlier halves make a run-length index and the later ones
-are streamed against it, and a matching statistic of `length` or more marks a string.
-3) Marks return to the documents, which drop what they cover. An anchor with very many differing stretches, as at the
-ends of a passage of a third of all documents, is not indexed in one task: its stretches go on
-as 128-bit hashes of their single strings, spread by string and joined before the shuffle.
-
-A task holds one batch, shard or block of bounded bytes; equal stretches of a batch are
-joined before the shuffle, so a passage that a third of the documents share makes one
-entry a batch and no pairs.
+of one anchor are held together as a stretch.
+1) Candidates. Stretches go to shards by anchor as short hashes in packed arrays, which
+decide nothing: they tell which stretches can match one of another document. Two places of
+one anchor can only share a string if they also share the 17 bytes before the anchor or the
+17 after it. Stretches that look equal form a group, led by its smallest document.
+2) Index. The candidates go to shards as bytes. Groups: their leaders' strings make a
+run-length index, against which the others are streamed. Differing stretches of one
+anchor: they are halved by document again and again; the earlier halves make a run-length
+index and the later ones are streamed against it. A matching statistic of `length` or more
+marks a string.
+3) Marks return to the documents, which drop what they cover.
+
+Before anything is shuffled, equal stretches of a batch or block are joined, by comparing
+their bytes: the smallest document's goes on for all, and the others are marked. A large
+group is dealt to several shards, each with its leader. An anchor with very many differing
+stretches, as at the ends of a passage of a third of all documents, is split into its
+single strings, which go to shards by string; they are indexed there like the others.
 
 Defined results: null text counts as empty; texts under `length` bytes lose nothing;
 equal rows have equal results; rows without doc_id take no part; strings repeated in one
@@ -25,8 +27,6 @@ document only stay; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +37,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable
+from .common import durable, give_back, slots
 from .rindex import RunLengthIndex
 
 LENGTH = 50
@@ -48,14 +48,19 @@ CHUNK = 1 << 20
 PORTION = 1 << 23
 #: Bytes of text in a shard or block.
 PART_BYTES = 1 << 23
-COVERED, ASKED, CROWDED = 0, 1, 2
-#: Stretches of one anchor that one index takes; an anchor with more is compared string by string.
+MOST_PARTS = 1 << 18
+#: Stretches that a scan task holds before it packs them, so that a shard's share stays longer than its framing.
+HELD, EACH = 1 << 22, 16
+COVERED, ASKED, CROWDED, COPIED = 0, 1, 2, 3
+#: Stretches of one anchor, or of one group, that go to one shard together; more are split.
 CROWD = 256
+#: Stretches that are compared byte by byte at once.
+COMPARED = 1 << 15
 #: Bytes beside the anchor on the one side or the other that every string holds.
 SIDE = (LENGTH - ANCHOR) // 2
 #: Bytes that one index is made of at a time, where anchors allow.
 INDEX_BYTES = 1 << 20
-ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
+ENTRY = np.dtype([("key", "<u8"), ("hash", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 MARK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -82,13 +87,6 @@ def unpack_all(blobs, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: a worker lives through several stages, and its heap would keep it."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _C
     x = (x ^ (x >> np.uint64(29))) * _B
@@ -144,12 +142,12 @@ def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor:
             made = key[spot]
             for shift in (*range(0, SIDE - 7, 8), SIDE - 8):
                 made = _mix(made + mixed[np.clip(at + shift, 0, top)] * _C)
-            return np.where(valid, (made >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+            return np.where(valid, (made >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.uint16)
 
         left = beside(spot - SIDE, spot - SIDE >= start)
         right = beside(spot + anchor, spot + anchor + SIDE <= stop + length)
-    cut = np.uint64(16)  # 48 bits each of anchor and bytes go on, compared together
-    return start, stop - start, key[spot] >> cut, hashed >> cut, left, right
+    # 48 bits of the anchor go on, 24 of the bytes and 16 of each side
+    return start, stop - start, key[spot] >> np.uint64(16), (hashed >> np.uint64(40)).astype(np.uint32), left, right
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -168,8 +166,10 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield group
 
 
-def _entries(ids: list[int], texts: list[bytes]) -> np.ndarray:
-    parts = [np.zeros(0, dtype=ENTRY)]
+def _entries(ids: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of all texts, and where each begins in the joined texts."""
+    parts, places = [np.zeros(0, dtype=ENTRY)], [np.zeros(0, dtype=np.int64)]
+    begin = np.cumsum([0, *map(len, texts)])
     for group in _pieces(texts):
         sizes = np.array([len(p) for _, _, p in group])
         first = np.cumsum(sizes) - sizes
@@ -180,11 +180,12 @@ def _entries(ids: list[int], texts: list[bytes]) -> np.ndarray:
         made["doc"] = np.array([ids[i] for i, _, _ in group], dtype=np.int64)[owner]
         made["start"] = start - first[owner] + np.array([o for _, o, _ in group], dtype=np.int64)[owner]
         parts.append(made)
-    return np.concatenate(parts)
+        places.append(begin[np.array([i for i, _, _ in group], dtype=np.int64)[owner]] + made["start"])
+    return np.concatenate(parts), np.concatenate(places)
 
 
 def shared(entries: np.ndarray, side: str) -> np.ndarray:
-    """Which entries have the same bytes on a side of their anchor as one of another document."""
+    """Which entries have the same hash on a side of their anchor as one of another document."""
     order = np.lexsort((entries["doc"], entries[side], entries["key"]))
     key, part, doc = entries["key"][order], entries[side][order], entries["doc"][order]
     heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
@@ -194,28 +195,64 @@ def shared(entries: np.ndarray, side: str) -> np.ndarray:
     return out
 
 
-def earlier_twin(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries sorted by anchor, stretch and document; which of them an earlier document holds too; which are not alone with their anchor."""
-    entries = entries[np.argsort(entries["key"])]
-    same = entries["key"][1:] == entries["key"][:-1]
-    several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    some = entries[several]
-    some = some[np.lexsort((some["doc"], some["more"], some["hash"], some["key"]))]
+def grouped(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, leader): the entries whose anchor is not alone, by anchor, hashes and document; and for each
+    place in that order the place of its group's first."""
+    order = np.argsort(entries["key"], kind="stable")
+    key = entries["key"][order]
+    same = key[1:] == key[:-1]
+    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(key) else order
+    some = entries[order]
+    by = np.lexsort((some["start"], some["doc"], some["more"], some["hash"], some["right"], some["left"], some["key"]))
+    order, some = order[by], some[by]
     new = np.ones(len(some), dtype=bool)
-    new[1:] = (some["key"][1:] != some["key"][:-1]) | (some["hash"][1:] != some["hash"][:-1]) | (some["more"][1:] != some["more"][:-1])
-    twin = np.zeros(len(entries), dtype=bool)
-    twin[several] = some["doc"] > some["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    entries[several] = some
-    return entries, twin, several
+    for name in ("key", "left", "right", "hash", "more"):
+        if name == "key":
+            new[1:] = some[name][1:] != some[name][:-1]
+        else:
+            new[1:] |= some[name][1:] != some[name][:-1]
+    heads = np.flatnonzero(new)
+    return order, heads[np.cumsum(new) - 1] if len(some) else heads
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from a and from b are equal."""
+    out = np.ones(len(a), dtype=bool)
+    for i in range(0, len(a), COMPARED):
+        n = size[i : i + COMPARED]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        equal = data[np.repeat(a[i : i + COMPARED], n) + step] == data[np.repeat(b[i : i + COMPARED], n) + step]
+        out[i : i + COMPARED] = np.logical_and.reduceat(equal, first)
+    return out
+
+
+def joined(entries: np.ndarray, places: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which entries equal, byte by byte, one of an earlier document among them."""
+    order, leader = grouped(entries)
+    later = np.flatnonzero(entries["doc"][order] > entries["doc"][order[leader]]) if len(order) else leader
+    mine, first = order[later], order[leader[later]]
+    out = np.zeros(len(entries), dtype=bool)
+    if len(mine):
+        out[mine] = same_bytes(data, places[mine], places[first], entries["more"][mine].astype(np.int64) + LENGTH)
+    return out
 
 
 def _rows(part: np.ndarray, kind: int, values: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Records packed by their part's number. Marks of covered strings need no anchor any more."""
     if kind == COVERED and len(values):
         values["key"] = 0
-    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")  # 16 bits: radix
-    cuts = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))) if len(part) else []
-    return [(int(part[order[a]]), kind, pack(values[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(part)])]
+    return [(k, kind, pack(values[some])) for k, some in _by_part(part)]
+
+
+def _by_part(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(part, indexes) of each part that occurs."""
+    if not len(part):
+        return []
+    order = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")  # 16 bits: radix
+    sorted_ = part[order]
+    cuts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    return [(int(sorted_[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(part)])]
 
 
 def _block(doc: np.ndarray, n: int) -> np.ndarray:
@@ -228,9 +265,10 @@ def block_column(n: int):
 
 
 def _marks(entries: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    made = np.zeros(int(keep.sum()), dtype=MARK)
+    some = entries[keep]
+    made = np.zeros(len(some), dtype=MARK)
     for name in MARK.names:
-        made[name] = entries[name][keep]
+        made[name] = some[name]
     return made
 
 
@@ -256,97 +294,147 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
         yield ids, texts
 
 
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key % np.uint64(shards)).astype(np.int64)
+
+
 def _scan(shards: int, blocks: int):
     """Shard entries (kind ASKED, part = shard) and marks found at once (kind COVERED, part = block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            entries, marks = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            rows = _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows(_shard(entries["key"], shards), ASKED, entries)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
+
         for batch in batches:
-            rows: list[tuple[int, int, bytes]] = []
             for ids, texts in _portions(batch):
-                entries = _entries(ids, texts)
-                if len(entries):
-                    entries, twin, _ = earlier_twin(entries)
-                    marks = _marks(entries, twin)
-                    entries = entries[~twin]
-                    rows += _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows((entries["key"] % np.uint64(shards)).astype(np.int64), ASKED, entries)
-            give_back()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
+                entries, places = _entries(ids, texts)
+                twin = joined(entries, places, np.frombuffer(b"".join(texts), dtype=np.uint8))
+                marks, entries = _marks(entries, twin), entries[~twin]
+                held.append((entries[np.argsort(entries["key"])], marks))
+                if sum(len(e) for e, _ in held) >= min(HELD, EACH * shards):
+                    yield packed()
+        if held:
+            yield packed()
+        give_back()
 
     return run
 
 
 def _compare_hashes(blocks: int):
+    """The candidates among a shard's stretches, as marks to their blocks."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        entries, twin, several = earlier_twin(unpack_all(rows["blob"], ENTRY))
-        several &= ~twin
-        first = entries[several]
-        asked = np.zeros(len(entries), dtype=bool)
-        if len(first):
-            asked[several] = shared(first, "left") | shared(first, "right")
-        _, of, times = np.unique(entries["key"][asked], return_inverse=True, return_counts=True)
+        entries = unpack_all(rows["blob"], ENTRY)
+        order, leader = grouped(entries)
+        some = entries[order]
+        del entries
+        copy = some["doc"] > some["doc"][leader]
+        # groups: the copies, and for each share of CROWD copies the leader again, under a key of the share
+        rank = np.cumsum(copy) - 1
+        share = (rank - rank[leader]) // CROWD if len(some) else rank
+        with np.errstate(over="ignore"):
+            mixed = _mix(some["key"] * _A + some["hash"].astype(np.uint64) * _B + some["left"].astype(np.uint64) * _C)
+            mixed = _mix(mixed + some["right"].astype(np.uint64) * _A + some["more"].astype(np.uint64) * _B + share.astype(np.uint64) * _C) >> np.uint64(16)
+        at = np.flatnonzero(copy)
+        shares, index = np.unique(mixed[at], return_index=True)
+        copied = np.concatenate((_marks(some, at), _marks(some, leader[at[index]])))
+        copied["key"] = np.concatenate((mixed[at], shares))
+        # differing stretches of one anchor: those that share a side with one of another document
+        first = some[~copy]
+        asked = (shared(first, "left") | shared(first, "right")) if len(first) else np.zeros(0, dtype=bool)
+        _, of, times = np.unique(first["key"][asked], return_inverse=True, return_counts=True)
         crowded = asked.copy()
-        crowded[asked] = times[of] > CROWD
-        out = []
-        for kind, keep in ((COVERED, twin), (ASKED, asked & ~crowded), (CROWDED, crowded)):
-            marks = _marks(entries, keep)
+        crowded[asked] = times[of] > CROWD if len(times) else False
+        out = _rows(_block(copied["doc"], blocks), COPIED, copied)
+        for kind, keep in ((ASKED, asked & ~crowded), (CROWDED, crowded)):
+            marks = _marks(first, keep)
             out += _rows(_block(marks["doc"], blocks), kind, marks)
         return _frame(out)
 
     return run
 
 
-def _strings(crowded: pd.DataFrame, texts: dict, shards: int, blocks: int) -> list[tuple[int, int, bytes]]:
-    """The strings of stretches of crowded anchors, each as 128 bits, to shards of their own.
-
-    Strings that a block's documents share go on once, so a passage of very many
-    documents meets in no single task.
-    """
-    made = []
-    for blob in crowded["blob"]:
-        marks = unpack(blob, MARK)
-        for doc, start, more in zip(marks["doc"].tolist(), marks["start"].tolist(), marks["more"].tolist()):
-            raw = (texts.get(doc) or "").encode("utf-8", "surrogatepass") if not made or made[-1][4] != doc else made[-1][5]
-            for at in range(start, start + more + 1):
-                wide = xxhash.xxh3_128_intdigest(raw[at : at + LENGTH])
-                made.append((wide >> 64, wide & 0xFFFFFFFFFFFFFFFF, at, 0, doc, raw))
-    if not made:
-        return []
-    entries = np.zeros(len(made), dtype=ENTRY)
-    for name, values in zip(("key", "hash", "start", "more", "doc"), zip(*made)):
-        entries[name] = np.array(values, dtype=ENTRY[name])
-    entries, twin, _ = earlier_twin(entries)
-    marks, entries = _marks(entries, twin), entries[~twin]
-    return _rows(_block(marks["doc"], blocks), COVERED, marks) + _rows((entries["key"] % np.uint64(shards)).astype(np.int64), CROWDED, entries)
+def _strings(marks: np.ndarray, where: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Every string of the stretches as a stretch of its own, under a key of its own; and where each begins."""
+    n = marks["more"].astype(np.int64) + 1
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    made = np.repeat(marks, n)
+    made["start"] += step.astype(np.uint32)
+    made["more"] = 0
+    places = np.repeat(where, n) + step
+    made["key"] = np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + LENGTH]) for a in places.tolist()), dtype=np.uint64, count=len(places)) >> np.uint64(16)
+    return made, places
 
 
 def _fetch(shards: int, blocks: int):
-    """Bytes of the asked stretches, to their shards. A blob is packed marks and, after them, the bytes."""
+    """Bytes of the candidates, to their shards. A blob is packed marks and, after them, the bytes.
+
+    Of a block's equal stretches the smallest document's goes on, and the others are marked.
+    """
 
     def run(key: tuple, docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        texts = dict(zip(docs["doc_id"], docs["text"]))
-        rows = _strings(asked[asked["kind"] == CROWDED], texts, shards, blocks)
-        asked = asked[asked["kind"] == ASKED]
         if not len(asked) or not len(docs):
-            return _frame(rows)
-        marks = unpack_all(asked["blob"], MARK)
-        marks = marks[np.argsort(marks["doc"], kind="stable")]
-        shard = (marks["key"] % np.uint64(shards)).astype(np.int64)
-        raw: list[bytes] = []
-        last, text = None, b""
-        for doc, start, more in zip(marks["doc"].tolist(), marks["start"].tolist(), marks["more"].tolist()):
-            if doc != last:
-                last, text = doc, (texts.get(doc) or "").encode("utf-8", "surrogatepass")
-            raw.append(text[start : start + more + LENGTH])
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1])))
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            head = pack(marks[order[a:b]])
-            rows.append((int(shard[order[a]]), ASKED, len(head).to_bytes(8, "little") + head + zstandard.compress(b"".join(raw[i] for i in order[a:b]), 1)))
+            return _frame([])
+        ids, texts = docs["doc_id"].to_numpy(), [t.encode("utf-8", "surrogatepass") if t else b"" for t in docs["text"]]
+        begin = np.cumsum([0, *map(len, texts)])
+        data = b"".join(texts)
+        del texts
+        plain = np.frombuffer(data, dtype=np.uint8)
+        by_id = np.argsort(ids, kind="stable")
+        rows: list[tuple[int, int, bytes]] = []
+        for kind in (ASKED, COPIED, CROWDED):
+            blobs = asked["blob"][asked["kind"] == kind]
+            if not len(blobs):
+                continue
+            marks = unpack_all(blobs, MARK)
+            where = begin[by_id[np.searchsorted(ids, marks["doc"], sorter=by_id)]] + marks["start"]
+            if kind == CROWDED:
+                marks, where = _strings(marks, where, data)
+            entries = np.zeros(len(marks), dtype=ENTRY)
+            for name in MARK.names:
+                entries[name] = marks[name]
+            size = marks["more"].astype(np.int64) + LENGTH
+            if kind != COPIED:  # the key of a copy tells its bytes already
+                spots = where, where + size - 8
+                ends = [sum(plain[at + k].astype(np.uint64) << np.uint64(8 * k) for k in range(8)) for at in spots]
+                with np.errstate(over="ignore"):
+                    entries["hash"] = (_mix(ends[0] * _A + ends[1] * _B) >> np.uint64(32)).astype(np.uint32)
+            twin = joined(entries, where, plain)
+            found = marks[twin]
+            rows += _rows(_block(found["doc"], blocks), COVERED, found)
+            marks, where, size = marks[~twin], where[~twin], size[~twin]
+            to = kind if kind == COPIED else ASKED
+            for part, some in _by_part(_shard(marks["key"], shards)):
+                head = pack(marks[some])
+                raw = b"".join(data[a : a + n] for a, n in zip(where[some].tolist(), size[some].tolist()))
+                rows.append((part, to, len(head).to_bytes(8, "little") + head + zstandard.compress(raw, 1)))
+        give_back()
         return _frame(rows)
 
     return run
 
 
+def _opened(blobs) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Marks, sizes and joined bytes of blobs that `_fetch` made."""
+    marks, raw = [np.zeros(0, dtype=MARK)], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        marks.append(unpack(blob[8 : 8 + n], MARK))
+        raw.append(zstandard.decompress(blob[8 + n :]))
+    every = np.concatenate(marks)
+    return every, every["more"].astype(np.int64) + LENGTH, b"".join(raw)
+
+
+def _taken(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the bytes of some stretches."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def mark_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each byte of the stretches: does a string that starts there occur in a smaller document's stretch of the same key?
 
@@ -387,61 +475,73 @@ def mark_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
     return found
 
 
+def mark_copies(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each byte of the stretches: does a string that starts there occur in the stretch of its key's smallest document?
+
+    Those stretches make an index, and the others are streamed against it.
+    """
+    order = np.lexsort((doc, key))
+    head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    start = np.cumsum(size) - size
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(head)
+    leads, others = order[head], order[~head]
+    found = np.zeros(len(data), dtype=bool)
+    if len(others):
+        index = RunLengthIndex(data[_taken(data, start[leads], size[leads])].astype(np.int64) + 1, size[leads])
+        spots = _taken(data, start[others], size[others])
+        found[spots] = index.matching_statistics(data[spots].astype(np.int64) + 1, size[others]) >= length
+    return found
+
+
+def _decided(blobs, mark, blocks: int) -> list[tuple[int, int, bytes]]:
+    """Marks of the strings that `mark` finds in the stretches of some blobs, whole keys at a time."""
+    every, sizes, whole = _opened(blobs)
+    if not len(every):
+        return []
+    ends = np.cumsum(sizes)
+    numbers: dict[tuple, int] = {}  # equal stretches of one document are compared once
+    copy_of = np.array([numbers.setdefault((k, d, whole[b - n : b]), len(numbers)) for k, d, b, n in zip(every["key"].tolist(), every["doc"].tolist(), ends.tolist(), sizes.tolist())])
+    once = np.unique(copy_of, return_index=True)[1]
+    data = np.frombuffer(b"".join(raw for _, _, raw in numbers), dtype=np.uint8)
+    del numbers, whole
+    marks, size = every[once], sizes[once]
+    start = np.cumsum(size) - size
+    found = np.zeros(len(data), dtype=bool)
+    order = np.argsort(marks["key"], kind="stable")
+    key, at = marks["key"][order], 0
+    filled = np.cumsum(size[order])
+    while at < len(order):  # INDEX_BYTES at a time
+        upto = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + INDEX_BYTES, side="right"))
+        upto = int(np.searchsorted(key, key[min(max(upto, at + 1), len(order)) - 1], side="right"))
+        some = order[at:upto]
+        spots = _taken(data, start[some], size[some])
+        found[spots] = mark(marks["key"][some], marks["doc"][some], size[some], data[spots])
+        at = upto
+    owner = np.repeat(np.arange(len(size)), size)
+    hit = np.flatnonzero(found)
+    if not len(hit):
+        return []
+    head = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]))))
+    first, last = hit[head], hit[np.append(head[1:], len(hit)) - 1]
+    # back to every copy: the runs of its stretch
+    owned = owner[first]
+    runs = np.bincount(owned, minlength=len(size))
+    at_run = np.cumsum(runs) - runs
+    times = runs[copy_of]
+    back = np.repeat(np.arange(len(every)), times)
+    run = np.repeat(at_run[copy_of] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    made = np.zeros(len(back), dtype=MARK)
+    made["doc"], made["start"], made["more"] = every["doc"][back], every["start"][back] + first[run] - start[owned[run]], (last - first)[run]
+    return _rows(_block(made["doc"], blocks), COVERED, made)
+
+
 def _compare_bytes(blocks: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        marks, raw = [], []
-        out = rows[rows["kind"] == COVERED]
-        strings = rows[rows["kind"] == CROWDED]
-        if len(strings):
-            entries, twin, _ = earlier_twin(unpack_all(strings["blob"], ENTRY))
-            found = _marks(entries, twin)
-            out = pd.concat((out, _frame(_rows(_block(found["doc"], blocks), COVERED, found))))
-        rows = rows[rows["kind"] == ASKED]
-        if not len(rows):
-            return out
-        for blob in rows["blob"]:
-            n = int.from_bytes(blob[:8], "little")
-            marks.append(unpack(blob[8 : 8 + n], MARK))
-            raw.append(zstandard.decompress(blob[8 + n :]))
-        every = np.concatenate(marks)
-        sizes = every["more"].astype(np.int64) + LENGTH
-        ends = np.cumsum(sizes)
-        whole = b"".join(raw)
-        numbers: dict[tuple, int] = {}  # equal stretches of one document are compared once
-        copy_of = np.array([numbers.setdefault((k, d, whole[b - n : b]), len(numbers)) for k, d, b, n in zip(every["key"].tolist(), every["doc"].tolist(), ends.tolist(), sizes.tolist())])
-        once = np.unique(copy_of, return_index=True)[1]
-        data = np.frombuffer(b"".join(raw_ for _, _, raw_ in numbers), dtype=np.uint8)
-        marks, size = every[once], sizes[once]
-        del numbers, whole
-        start = np.cumsum(size) - size
-        found = np.zeros(len(data), dtype=bool)
-        order = np.argsort(marks["key"], kind="stable")
-        key, at = marks["key"][order], 0
-        filled = np.cumsum(size[order])
-        while at < len(order):  # whole anchors, INDEX_BYTES at a time
-            upto = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + INDEX_BYTES, side="right"))
-            upto = int(np.searchsorted(key, key[min(max(upto, at + 1), len(order)) - 1], side="right"))
-            some = order[at:upto]
-            n = size[some]
-            spots = np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            found[spots] = mark_strings(marks["key"][some], marks["doc"][some], n, data[spots])
-            at = upto
-        owner = np.repeat(np.arange(len(size)), size)
-        hit = np.flatnonzero(found)
-        if not len(hit):
-            return out
-        head = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]))))
-        first, last = hit[head], hit[np.append(head[1:], len(hit)) - 1]
-        # back to every copy: the runs of its stretch
-        owned = owner[first]
-        runs = np.bincount(owned, minlength=len(size))
-        at_run = np.cumsum(runs) - runs
-        times = runs[copy_of]
-        back = np.repeat(np.arange(len(every)), times)
-        run = np.repeat(at_run[copy_of] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        made = np.zeros(len(back), dtype=MARK)
-        made["doc"], made["start"], made["more"] = every["doc"][back], every["start"][back] + first[run] - start[owned[run]], (last - first)[run]
-        return pd.concat((out, _frame(_rows(_block(made["doc"], blocks), COVERED, made))))
+        out = [rows[rows["kind"] == COVERED]]
+        for kind, mark in ((ASKED, mark_strings), (COPIED, mark_copies)):
+            out.append(_frame(_decided(rows["blob"][rows["kind"] == kind], mark, blocks)))
+        return pd.concat(out)
 
     return run
 
@@ -479,28 +579,40 @@ def _finish(key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """RESULT of each document. The text is read twice and shuffled once, by block of documents."""
+    """RESULT of each document. The text is read twice and shuffled once, by block of documents.
+
+    `part_bytes` is the text of a shard or block; beyond MOST_PARTS of them they grow.
+    """
+    spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes)) | 1
-    scanned = plain.mapInArrow(_scan(parts, parts), SCHEMA)
-    hashed = scanned.withColumn("hot", F.when(F.col("kind") == COVERED, -1 - F.col("part")).otherwise(F.col("part")))
+    parts = min(max(1, -(-total // part_bytes)), MOST_PARTS) | 1
+    slot = slots(spark, parts)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """One partition for each shard or block."""
+        return df.withColumn("slot", slot(F.col("part"))).repartition(parts, "slot")
 
     def first_round(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="hot")
-        made = rows if rows["kind"].iloc[0] == COVERED else _compare_hashes(parts)(rows)
+        made = [rows[rows["kind"] == COVERED][["part", "kind", "blob"]]]
+        rows = rows[rows["kind"] == ASKED]
+        if len(rows):
+            made.append(_compare_hashes(parts)(rows))
         give_back()
-        return made
+        return pd.concat(made)
 
     def second_round(rows: pd.DataFrame) -> pd.DataFrame:
-        made = _compare_bytes(parts)(rows.drop(columns="hot"))
+        made = _compare_bytes(parts)(rows[["part", "kind", "blob"]])
         give_back()
         return made
 
-    known = durable(hashed.groupBy("hot").applyInPandas(first_round, SCHEMA))
-    blocks = plain.withColumn("part", block_column(parts)).repartition(min(parts, 1 << 20), "part")
-    bytes_ = blocks.groupBy("part").cogroup(known.where(F.col("kind") != COVERED).groupBy("part")).applyInPandas(_fetch(parts, parts), SCHEMA)
-    found_at_once = F.when(F.col("kind") == COVERED, -1 - F.col("part")).otherwise(F.col("part"))
-    more = bytes_.withColumn("hot", found_at_once).groupBy("hot").applyInPandas(second_round, SCHEMA)
-    marks = known.where(F.col("kind") == COVERED).union(more)
-    return blocks.groupBy("part").cogroup(marks.groupBy("part")).applyInPandas(_finish, RESULT)
+    def fetch(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _fetch(parts, parts)(key, left, right)
+
+    known = durable(dealt(plain.mapInArrow(_scan(parts, parts), SCHEMA)).groupBy("slot").applyInPandas(first_round, SCHEMA))
+    blocks = dealt(plain.withColumn("part", block_column(parts)))
+    candidates = dealt(known.where(F.col("kind") != COVERED))
+    bytes_ = blocks.groupBy("slot").cogroup(candidates.groupBy("slot")).applyInPandas(fetch, SCHEMA)
+    more = dealt(bytes_).groupBy("slot").applyInPandas(second_round, SCHEMA)
+    marks = dealt(known.where(F.col("kind") == COVERED).union(more))
+    return blocks.groupBy("slot").cogroup(marks.groupBy("slot")).applyInPandas(_finish, RESULT)

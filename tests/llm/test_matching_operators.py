@@ -298,7 +298,7 @@ def test_cut_texts_have_the_same_strings(monkeypatch):
 
     def by_string():
         made = {}
-        for e in suffixdedup._entries(list(range(len(texts))), texts):
+        for e in suffixdedup._entries(list(range(len(texts))), texts)[0]:
             for k in range(int(e["more"]) + 1):
                 at = (int(e["doc"]), int(e["start"]) + k)
                 assert at not in made
