@@ -203,13 +203,51 @@ def test_small_tables_are_exact(spark):
     assert hnsw.nearest(df.limit(0), F.lit(True), 5).count() == 0
 
 
-def test_recall_against_brute_force():
+@pytest.mark.parametrize("clusters", [0, 20, 300])
+def test_recall_against_brute_force(clusters):
     rng = np.random.default_rng(3)
-    for vectors in (rng.normal(size=(3000, 32)), rng.normal(size=(20, 32))[rng.integers(0, 20, 3000)] + 0.05 * rng.normal(size=(3000, 32))):
-        u = hnsw.unit(vectors)
-        made = hnsw.Graph(u).search(u[:200], 6)
-        exact = np.argsort(-(u[:200] @ u.T), axis=1)[:, :6]
-        assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(made, exact)]) > 0.95
+    n = 12_000
+    vectors = rng.normal(size=(clusters, 32))[rng.integers(0, clusters, n)] + 0.05 * rng.normal(size=(n, 32)) if clusters else rng.normal(size=(n, 32))
+    u = hnsw.unit(vectors)
+    graph = hnsw.Graph(u)
+    graph.visited = 0
+    made = graph.search(u[:200])[:, :6]
+    assert graph.visited / 200 < 0.2 * n  # a walk sees a small share of the nodes, and hardly more of them in a larger graph
+    exact = np.argsort(-(u[:200] @ u.T), axis=1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(made, exact)]) > 0.95
+    for layer, k in enumerate(graph.count):  # flat arrays of known nodes, no node twice in a list
+        lists = graph.neighbours[layer]
+        assert lists.shape == (k, hnsw.places_of(layer) + hnsw.TREE) and lists.max(initial=-1) < k
+        assert all(len(set(r)) == len(r) and i not in r for i, r in enumerate([x[x >= 0].tolist() for x in lists[:500, : -hnsw.TREE]]))
+        reached = {0}
+        for i in range(k):  # children come behind their parent, siblings before the one that names them
+            reached.update(x for x in lists[i, -hnsw.TREE :].tolist() if x >= 0)
+        assert reached == set(range(k))
+
+
+def found(spark, rows, query=0, k=5):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return [(r.vec_id, r.score) for r in hnsw.nearest(df, F.col("vec_id") == query, k).orderBy("rank").collect()]
+
+
+def test_scaled_copies_tie_to_the_smaller_id(spark):
+    v = np.random.default_rng(1).normal(size=16)
+    scales = [1.0, *(2.0 ** np.arange(-6, 9)), *(4.0 ** np.arange(5, 19))][:30]
+    assert [i for i, _ in found(spark, [(i, (s * v).tolist()) for i, s in enumerate(scales)])] == [1, 2, 3, 4, 5]
+    whole = np.arange(1.0, 9.0)
+    assert found(spark, [(i, (s * whole).tolist()) for i, s in enumerate(range(1, 31))]) == [(i, 1.0) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("n", [60, 400])
+def test_order_below_single_precision(spark, n):
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, 3e-5 * (1 + 1e-4 * (n - i)), 0.0]) for i in range(1, n + 1)]
+    made = found(spark, rows)
+    assert [i for i, _ in made] == list(range(n, n - 5, -1)) and all(s < 1 for _, s in made)
+
+
+def test_orthogonal_and_opposite_vectors_keep_their_score(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 7.0]), (2, [-3.0, 0.0]), (3, [0.0, -1e300]), (4, [1e-300, 0.0]), (5, [5.0])]
+    assert found(spark, rows) == [(4, 1.0), (1, 0.0), (3, 0.0), (2, -1.0)]
 
 
 # ---- pipeline ----
