@@ -24,9 +24,20 @@ def durable(df: DataFrame) -> DataFrame:
             local = sc.master.startswith("local[") or sc.master == "local"
             folder = "/tmp/checkpoints/huelake" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         sc.setCheckpointDir(folder)
+        remove(spark, sc.getCheckpointDir(), at_exit=True)
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder of any file system, now or when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        files.deleteOnExit(place)
+    else:
+        files.delete(place, True)
+
+
 def attach(left: DataFrame, table: DataFrame, key: str, spread: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of `table` (unique on `key`) to `left`, where one key may hold a third of the rows.
 

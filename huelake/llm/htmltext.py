@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .common import give_back
+
 # The element kinds of the HTML standard that matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -431,5 +433,6 @@ def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:
         for batch in batches:
             made = pa.array([page_text(x.as_py()) for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "text"])
+        give_back()
 
     return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("text", StringType())]))

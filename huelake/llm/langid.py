@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import give_back
+
 #: Characters that a pattern's \\w takes, but that are neither letters nor decimal digits.
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
@@ -249,6 +251,7 @@ def identify(docs: DataFrame, vocabulary: str, *, learn: Column | None = None, d
                 part = batch.slice(i, 512)
                 langs, score = model.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        give_back()
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -9,7 +9,8 @@ as often as its budget allows and ends with the prefix of one more permutation.
 
 Defined results: a null source is a source of its own; null or word-less text counts
 zero tokens, and a source without tokens has weight zero and yields no rows; repeated
-rows are separate rows that share a block; an empty table gives an empty result;
+rows (same doc_id and text) are separate rows that share a block, rows of one doc_id or
+without one are dealt by their texts; an empty table gives an empty result;
 columns whose names start with mix_ are replaced.
 """
 
@@ -23,7 +24,6 @@ from .common import attach, durable
 
 #: Exponents that one pass over the source table evaluates: five levels of bisection.
 POINTS = 31
-NULL_SOURCE = "\x00"
 
 
 def drawn(*parts: Column) -> Column:
@@ -84,7 +84,8 @@ def mix(docs: DataFrame, *, entropy_ratio: float = 0.95, max_repeats: float = 4.
     """
     counted = F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else word_tokens(text)
     plain = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    named = plain.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit(NULL_SOURCE))).withColumn("mix_tokens", counted)
+    key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
+    named = plain.withColumn("mix_source", key).withColumn("mix_tokens", counted)
     totals = durable(source_totals(named).where("tokens > 0"))
     whole = totals.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).first()
     grand, n = int(whole["t"] or 0), int(whole["n"])
@@ -96,7 +97,9 @@ def mix(docs: DataFrame, *, entropy_ratio: float = 0.95, max_repeats: float = 4.
         "mix_source", weight.alias("mix_weight"), F.round(weight * spend / F.col("tokens"), 9).alias("mix_rate"),
         F.ceil(F.col("tokens") / block_tokens).alias("__blocks"),
     )
-    ident = F.col(doc_id).cast("string")
+    parts = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), *([F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))] if text in docs.columns else [])]
+    named = named.withColumn("__ident", F.concat_ws("|", *parts))
+    ident = F.col("__ident")
     dealt = attach(named, durable(table), "mix_source", doc_id).where("mix_weight is not null")
     number = F.conv(F.substring(drawn(F.lit(seed), ident), 1, 15), 16, 10).cast("long")
     dealt = dealt.withColumn("mix_block", number % F.col("__blocks")).withColumn("__base", F.floor("mix_rate"))
@@ -107,4 +110,4 @@ def mix(docs: DataFrame, *, entropy_ratio: float = 0.95, max_repeats: float = 4.
     times = dealt.withColumn("__times", F.col("__base") + extra).where("__times > 0")
     copies = times.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
     order = Window.partitionBy("mix_source", "mix_block", "mix_epoch").orderBy(drawn(F.lit(seed), F.col("mix_epoch"), ident), ident, "mix_tokens")
-    return copies.withColumn("mix_position", F.row_number().over(order)).drop("__blocks", "__base", "__times")
+    return copies.withColumn("mix_position", F.row_number().over(order)).drop("__blocks", "__base", "__times", "__ident")

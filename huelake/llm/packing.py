@@ -14,15 +14,19 @@ packed one by one; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import give_back
+
 CAPACITY = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
@@ -50,13 +54,31 @@ class _Numbers(dict):
         return k
 
 
+# The normaliser and the word pattern of a tokenizer file that words can be taken from one by one.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_words(spec: dict) -> bool:
+    """Whether a tokenizer's pieces never cross spaces, as its file says."""
+    normal, cuts, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    split, level = [*(cuts.get("pretokenizers") or []), {}, {}][:2]
+    return (
+        normal.get("normalizers") == NORMALISERS
+        and split.get("type") == "Split" and split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not level.get("use_regex") and len(cuts.get("pretokenizers") or []) == 2
+        and model.get("type", "BPE") == "BPE" and not model.get("dropout") and not any(c.isspace() for t in spec.get("added_tokens") or [] for c in t.get("content", ""))
+    )
+
+
 class WordTokenizer:
     """Ids of a tokenizer whose pieces never cross spaces or line ends, with a memory of words.
 
     A word is numbered when met and its ids are found once. Words of Latin letters go
     straight to the vocabulary's merges, past the normaliser, which only lowers them; a
     trailing full stop or comma after a letter is a piece of its own. Anything else goes
-    through the whole tokenizer.
+    through the whole tokenizer. A file with another normaliser, another way of cutting
+    words or another model than these short cuts hold for encodes whole texts instead.
     """
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
@@ -64,6 +86,7 @@ class WordTokenizer:
 
         self.encoder = Tokenizer.from_file(path)
         self.merges = self.encoder.model
+        self.plain = not cuts_words(json.loads(Path(path).read_text(encoding="utf-8")))
         self.symbols = dict(enumerate(byte_symbols()))
         self.tails = {c: self.encoder.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.memory = memory
@@ -124,6 +147,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text, with the closing id."""
+        if self.plain:
+            return [np.array([*x.ids, END_ID], dtype=np.uint32) for x in self.encoder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.at) > self.memory:
             self._reset()
         number = self.at.__getitem__
@@ -148,10 +173,11 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def shared_tokenizer(path: str) -> WordTokenizer:
+def shared_tokenizer(path: str, memory: int = MEMORY) -> WordTokenizer:
     """This process's tokenizer: later tasks of a worker find its memory filled."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
+        _TOKENIZERS[path] = WordTokenizer(path, memory)
+    _TOKENIZERS[path].memory = memory
     return _TOKENIZERS[path]
 
 
@@ -208,11 +234,11 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int,
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packed(path: str, capacity: int, group_tokens: int):
+def _packed(path: str, capacity: int, group_tokens: int, memory: int):
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_tokenizer(path)
+        encoder = shared_tokenizer(path, memory)
         next_id = TaskContext.get().partitionId() << 40
         ids: list[np.ndarray] = []
         docs: list = []
@@ -237,11 +263,12 @@ def _packed(path: str, capacity: int, group_tokens: int):
                         yield flush()
         if ids:
             yield flush()
+        give_back()
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row for each piece, in COLUMNS. `tokenizer` is the path of its file on every executor."""
+def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, memory: int = MEMORY) -> DataFrame:
+    """One row for each piece, in COLUMNS. `tokenizer` is the path of its file on every executor; `memory` bounds the words that a worker remembers."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(_packed(tokenizer, capacity, group_tokens), COLUMNS)
+    return narrow.mapInArrow(_packed(tokenizer, capacity, group_tokens, memory), COLUMNS)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from .common import give_back
+
 # Given names by usual gender, and honorifics.
 FEMALE = "Agnes Alice Amanda Amelia Andrea Angela Anja Anna Barbara Beatrice Birgit Brigitte Camille Carla Carmen Caroline Catherine Charlotte Chiara Christine Claire Clara Claudia Dagmar Diana Dorothy Elena Elisabeth Elizabeth Ella Emily Emma Esther Eva Fatima Florence Francesca Gabriela Giulia Greta Hannah Heidi Helen Helga Inge Ingrid Irene Isabel Isabella Jane Jennifer Jessica Joanna Juana Julia Julie Karen Katharina Katherine Laura Lena Leonie Linda Lucia Lucy Luisa Manon Margaret Maria Marie Marta Martha Martina Mary Mathilde Monica Monika Nadia Nancy Natalie Nicole Nina Olga Olivia Patricia Paula Petra Pilar Rachel Rebecca Renate Rosa Ruth Sandra Sarah Sophie Sofia Susan Susanne Sylvie Teresa Ursula Valentina Victoria".split()
 MALE = "Adam Ahmed Alan Albert Alejandro Alessandro Alexander Andreas Andrew Antoine Antonio Anthony Arthur Benjamin Bernd Bernhard Brian Bruno Carlos Charles Christian Christopher Daniel David Dieter Diego Dmitri Edward Eric Ernst Felipe Fernando Francisco Frank Franz Frederick Friedrich Gabriel George Georg Gerhard Guillaume Hans Heinrich Helmut Henri Henry Hugo Ivan Jack Jacques James Javier Jean Johann Johannes John Jorge Joseph Juan Karl Kevin Klaus Kurt Laurent Lorenzo Louis Luca Luis Manuel Marco Mark Martin Matteo Matthew Michael Michel Miguel Mohammed Nicolas Oliver Oskar Otto Pablo Patrick Paul Pedro Peter Philip Philippe Pierre Rafael Richard Robert Roberto Rudolf Samuel Sebastian Sergio Stefan Stephen Thomas Tobias Ulrich Vincent Walter William Wolfgang Xavier Yves".split()
@@ -400,6 +402,7 @@ def replace_pii(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame
             columns[at] = pa.array([m[0] for m in made], pa.string())
             spans = [[dict(zip(("kind", "start", "end", "surrogate"), s)) for s in m[1]] for m in made]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, ARROW_SPANS)], [*batch.schema.names, "pii_spans"])
+        give_back()
 
     schema = StructType([*plain.schema.fields, StructField("pii_spans", SPANS)])
     return plain.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import attach, durable
+from .common import attach, durable, give_back
 
 WINDOW = 8
 SEPARATORS = " \t\n\v\f\r"
@@ -75,6 +75,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [measure(t.as_py()) for t in batch.column(2)]
         columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(MEASURES))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "host", *MEASURES])
+    give_back()
 
 
 def document_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

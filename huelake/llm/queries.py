@@ -127,9 +127,9 @@ def _mixing_oracle(entropy_ratio: float = 0.95, max_repeats: float = 4.0, block_
     enough = lambda t: f"(ln({z(t)}) - {t} * {d(t)} / {z(t)} >= {entropy_ratio!r} * ln(len(ps)))"
     repeats = lambda t: f"(list_max(list_transform(ps, lambda p: pow(p, {t} - 1))) / list_min(list_transform(ps, lambda p: pow(p, {t} - 1))))"
     step = lambda table, good: f"SELECT k + 1, CASE WHEN {good} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {good} THEN hi ELSE (lo + hi) / 2 END, ps FROM {table} WHERE k < 30"
-    drawn = lambda x: f"md5('0|' || {x} || '|' || coalesce(cast(doc_id AS VARCHAR), ''))"
+    drawn = lambda x: f"md5('0|' || {x} || '|' || ident)"
     return f"""
-WITH RECURSIVE n AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS mix_tokens FROM documents),
+WITH RECURSIVE n AS (SELECT doc_id, source, coalesce(cast(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS ident, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS mix_tokens FROM documents),
 s AS (SELECT source, sum(mix_tokens) AS tokens FROM n GROUP BY source HAVING sum(mix_tokens) > 0),
 q AS (SELECT list(tokens / cast(grand AS DOUBLE) ORDER BY tokens) AS ps, any_value(grand) AS grand FROM s CROSS JOIN (SELECT sum(tokens) AS grand FROM s) g),
 a AS (SELECT 0 AS k, cast(0 AS DOUBLE) AS lo, cast(1 AS DOUBLE) AS hi, ps FROM q UNION ALL {step("a", enough("((lo + hi) / 2)"))}),
@@ -139,13 +139,13 @@ t2 AS (SELECT t1.ps, grand, CASE WHEN {repeats("t").replace("ps", "t1.ps")} > {m
 e AS (SELECT grand, t, {z("t")} AS z, grand * {z("t")} / list_min(list_transform(ps, lambda p: pow(p, t - 1))) AS spend FROM t2),
 v AS (SELECT source, tokens, spend, round(pow(tokens / cast(grand AS DOUBLE), t) / z, 12) AS mix_weight FROM s CROSS JOIN e),
 r AS (SELECT source, mix_weight, round(mix_weight * spend / tokens, 9) AS mix_rate, cast(ceil(tokens / {float(block_tokens)}) AS BIGINT) AS blocks FROM v),
-x AS (SELECT doc_id, n.source, mix_tokens, mix_weight, mix_rate, cast(floor(mix_rate) AS BIGINT) AS base,
-  cast('0x' || substr(md5('0|' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % blocks AS mix_block FROM n JOIN r ON n.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY source, mix_block ORDER BY {drawn("base")}, cast(doc_id AS VARCHAR), mix_tokens ROWS UNBOUNDED PRECEDING) - mix_tokens / 2.0 AS before,
+x AS (SELECT doc_id, n.source, ident, mix_tokens, mix_weight, mix_rate, cast(floor(mix_rate) AS BIGINT) AS base,
+  cast('0x' || substr(md5('0|' || ident), 1, 15) AS BIGINT) % blocks AS mix_block FROM n JOIN r ON n.source IS NOT DISTINCT FROM r.source),
+c AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY source, mix_block ORDER BY {drawn("base")}, ident, mix_tokens ROWS UNBOUNDED PRECEDING) - mix_tokens / 2.0 AS before,
   sum(mix_tokens) OVER (PARTITION BY source, mix_block) AS held FROM x),
 m AS (SELECT *, unnest(range(0, base + CASE WHEN before < (mix_rate - base) * held THEN 1 ELSE 0 END)) AS mix_epoch FROM c)
 SELECT doc_id, source, mix_tokens, mix_weight, mix_rate, cast(mix_epoch AS BIGINT) AS mix_epoch, mix_block,
-  cast(row_number() OVER (PARTITION BY source, mix_block, mix_epoch ORDER BY {drawn("mix_epoch")}, cast(doc_id AS VARCHAR), mix_tokens) AS INTEGER) AS mix_position FROM m"""
+  cast(row_number() OVER (PARTITION BY source, mix_block, mix_epoch ORDER BY {drawn("mix_epoch")}, ident, mix_tokens) AS INTEGER) AS mix_position FROM m"""
 
 
 #: Suffix dedup in DuckDB SQL: windows of 50 bytes, the least document of each, runs of covered bytes.

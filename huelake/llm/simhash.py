@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable
+from .common import durable, give_back
 from .graph import components
 
 BITS = 64
@@ -56,6 +56,7 @@ def _fingerprinted(width: int):
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        give_back()
 
     return run
 

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import give_back
+
 WORDS = re.compile(r"[^\W_]+")
 WINDOW = 16
 #: Words of a text that training starts from.
@@ -226,6 +228,7 @@ def score(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, do
                 part = batch.slice(i, 512)
                 made = model.value.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.float64())], ["doc_id", "score"])
+        give_back()
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, score double")

@@ -343,3 +343,24 @@ def test_toxicity(spark):
     assert made[1000] > 0.7 and made[1001] == made[1002] == 0 and made[1003] < 0.7
     assert {r.score for r in toxicity.score(docs, marks.limit(0)).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), marks).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_file_gives_its_own_ids(name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public.path(name))
+    texts = [*ODD, "Two  spaces, tabs\tand\nlines. 'quoted' don't", "UPPER lower nbsp"]
+    tokenizer = packing.WordTokenizer(public.path(name))
+    assert tokenizer.plain == (name == "byte_bpe_50k.json")
+    made = tokenizer.encode(texts)
+    assert [m.tolist() for m in made] == [[*plain.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+
+
+def test_rows_without_an_id_do_not_share_a_block(spark):
+    docs = spark.createDataFrame([(None, f"word{i} " * 10, "en", "s", 0) for i in range(400)] + [(1, "a b c", "en", None, 0), (2, "a b", "en", "", 0), (3, "a", "en", "\x00", 0)], DOCS)
+    made = mixing.mix(docs, entropy_ratio=0.0, block_tokens=400).toPandas()
+    sizes = made[made.source == "s"].groupby("mix_block").size()
+    assert len(sizes) == 10 and sizes.max() < 100
+    weights = made[made.source != "s"].set_index("doc_id").mix_weight
+    assert len(set(weights.round(9))) == 3  # null, empty and odd names are sources of their own
