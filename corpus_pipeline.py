@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from huelake.llm import mixing, packing, pii, quality, simhash
-from huelake.llm.common import durable
+from huelake.llm.common import durable, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Key of the surrogates; a real run passes its own secret.
@@ -16,6 +16,8 @@ PII_KEY = b"registered pipeline"
 #: holds every document at least once, so mixing repeats small sources and drops nothing.
 ENTROPY_RATIO = 0.9
 MAX_REPEATS = 4.0
+#: Words that a worker remembers while it packs: fewer than by itself, as other stages' workers share its machine.
+WORDS = 200_000
 
 #: None: shingle hashes, keyed surrogates and token ids have no SQL form.
 ORACLE_SQL = None
@@ -60,7 +62,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of the packed sequences."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memory=WORDS)
 
 
 STAGES = [
@@ -73,7 +75,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's result is written as Parquet and read again."""
+    """All stages on documents; each stage's result is written as Parquet and read again.
+
+    A stage's folder is deleted once the next one's is whole; the last, which the result reads, when the driver ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     durable(spark.range(0))  # sets the shared folder where the session has none
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
@@ -82,4 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs.write.mode("overwrite").parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+        if 0 < i < len(STAGES) - 1:
+            remove(spark, f"{folder}/{i - 1}")
+    remove(spark, folder, at_exit=True)
     return docs
