@@ -19,7 +19,6 @@ rows have equal results; other columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import give_back
 
-#: Characters that a pattern's \\w takes, but that are neither letters nor decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+#: Runs of letters, and of the numerals that a pattern's \w takes as well.
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest word, in letters, that a worker remembers.
 REMEMBERED = 48
 #: Words times letters of a lattice; bounds a task's memory.
@@ -44,7 +42,10 @@ UND = "und"
 
 def words_of(text: str) -> list[str]:
     """Lower-case letter runs."""
-    return LETTERS.findall(text.lower())
+    words = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def portions(words: list[str]) -> Iterator[list[str]]:
