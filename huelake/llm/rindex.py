@@ -62,6 +62,7 @@ class RunLengthIndex:
         self.lf_start = np.empty(len(first), dtype=np.int64)
         self.lf_start[self.by_char] = before
         self.runs = len(first)
+        self.run_of = np.repeat(np.arange(self.runs, dtype=np.int32), sizes)  # in place of a search for each row's run
         self.keys = chars * self.runs + self.by_char
 
     def _common(self, a: np.ndarray, b: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -93,7 +94,7 @@ class RunLengthIndex:
             now = who[: int(np.searchsorted(falling, -t, side="left"))]  # patterns longer than t
             place = starts[now] + lengths[now] - 1 - t
             c = symbols[place]
-            run = np.searchsorted(self.run_start, row[now], side="right") - 1
+            run = self.run_of[row[now]].astype(np.int64)
             off = np.flatnonzero(self.run_char[run] != c)
             if len(off):
                 o, co = now[off], c[off]

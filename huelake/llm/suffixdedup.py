@@ -28,6 +28,7 @@ document only stay; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ PART_BYTES = 1 << 23
 MOST_PARTS = 1 << 18
 #: Stretches that a scan task holds before it packs them, so that a shard's share stays longer than its framing.
 HELD, EACH = 1 << 22, 16
-COVERED, ASKED, CROWDED, COPIED = 0, 1, 2, 3
+COVERED, ASKED, CROWDED, COPIED, LEADING = range(5)
 #: Stretches of one anchor, or of one group, that go to one shard together; more are split.
 CROWD = 256
 #: Stretches that are compared byte by byte at once.
@@ -342,15 +343,15 @@ def _compare_hashes(blocks: int):
             mixed = _mix(mixed + some["right"].astype(np.uint64) * _A + some["more"].astype(np.uint64) * _B + share.astype(np.uint64) * _C) >> np.uint64(16)
         at = np.flatnonzero(copy)
         shares, index = np.unique(mixed[at], return_index=True)
-        copied = np.concatenate((_marks(some, at), _marks(some, leader[at[index]])))
-        copied["key"] = np.concatenate((mixed[at], shares))
+        copied, leading = _marks(some, at), _marks(some, leader[at[index]])
+        copied["key"], leading["key"] = mixed[at], shares
         # differing stretches of one anchor: those that share a side with one of another document
         first = some[~copy]
         asked = (shared(first, "left") | shared(first, "right")) if len(first) else np.zeros(0, dtype=bool)
         _, of, times = np.unique(first["key"][asked], return_inverse=True, return_counts=True)
         crowded = asked.copy()
         crowded[asked] = times[of] > CROWD if len(times) else False
-        out = _rows(_block(copied["doc"], blocks), COPIED, copied)
+        out = _rows(_block(copied["doc"], blocks), COPIED, copied) + _rows(_block(leading["doc"], blocks), LEADING, leading)
         for kind, keep in ((ASKED, asked & ~crowded), (CROWDED, crowded)):
             marks = _marks(first, keep)
             out += _rows(_block(marks["doc"], blocks), kind, marks)
@@ -371,10 +372,20 @@ def _strings(marks: np.ndarray, where: np.ndarray, data: bytes) -> tuple[np.ndar
     return made, places
 
 
+def spanning(start: np.ndarray, end: np.ndarray) -> list[int]:
+    """Intervals (by start, none inside another) that cover what all of them cover: from each, the last that it reaches."""
+    starts, ends, i, out = start.tolist(), end.tolist(), 0, []
+    while i < len(starts):
+        out.append(i)
+        i = max(i + 1, bisect_right(starts, ends[i], i + 1) - 1)
+    return out
+
+
 def _fetch(shards: int, blocks: int):
     """Bytes of the candidates, to their shards. A blob is packed marks and, after them, the bytes.
 
     Of a block's equal stretches the smallest document's goes on, and the others are marked.
+    Copies whose bytes other copies of their document cover add nothing, and stay behind.
     """
 
     def run(key: tuple, docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -388,13 +399,18 @@ def _fetch(shards: int, blocks: int):
         by_id = np.argsort(ids, kind="stable")
         rows: list[tuple[int, int, bytes]] = []
         for kind in (ASKED, COPIED, CROWDED):
-            blobs = asked["blob"][asked["kind"] == kind]
-            if not len(blobs):
-                continue
-            marks = unpack_all(blobs, MARK)
-            where = begin[by_id[np.searchsorted(ids, marks["doc"], sorter=by_id)]] + marks["start"]
+            marks = unpack_all(asked["blob"][asked["kind"] == kind], MARK)
+            where = begin[by_id[np.searchsorted(ids, marks["doc"], sorter=by_id)]] + marks["start"] if len(marks) else np.zeros(0, dtype=np.int64)
             if kind == CROWDED:
                 marks, where = _strings(marks, where, data)
+            if kind == COPIED:
+                by = np.argsort(where, kind="stable")
+                by = by[spanning(where[by], where[by] + marks["more"][by] + LENGTH)]
+                leading = unpack_all(asked["blob"][asked["kind"] == LEADING], MARK)
+                lead = begin[by_id[np.searchsorted(ids, leading["doc"], sorter=by_id)]] + leading["start"] if len(leading) else where[:0]
+                marks, where = np.concatenate((marks[by], leading)), np.concatenate((where[by], lead))
+            if not len(marks):
+                continue
             entries = np.zeros(len(marks), dtype=ENTRY)
             for name in MARK.names:
                 entries[name] = marks[name]
@@ -480,12 +496,10 @@ def mark_copies(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nda
 
     Those stretches make an index, and the others are streamed against it.
     """
-    order = np.lexsort((doc, key))
-    head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
     start = np.cumsum(size) - size
-    number = np.empty(len(order), dtype=np.int64)
-    number[order] = np.cumsum(head)
-    leads, others = order[head], order[~head]
+    follows = followers(key, doc)
+    others = np.flatnonzero(follows)
+    leads = np.flatnonzero(~follows & np.isin(key, key[others]))
     found = np.zeros(len(data), dtype=bool)
     if len(others):
         index = RunLengthIndex(data[_taken(data, start[leads], size[leads])].astype(np.int64) + 1, size[leads])
@@ -494,17 +508,31 @@ def mark_copies(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nda
     return found
 
 
-def _decided(blobs, mark, blocks: int) -> list[tuple[int, int, bytes]]:
-    """Marks of the strings that `mark` finds in the stretches of some blobs, whole keys at a time."""
+def followers(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """False for the smallest document of each key, True for the others."""
+    order = np.lexsort((doc, key))
+    heads = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    least = np.repeat(doc[order][heads], np.diff(np.append(heads, len(order))))
+    out = np.empty(len(order), dtype=bool)
+    out[order] = doc[order] > least
+    return out
+
+
+def _decided(blobs, mark, blocks: int, owners=None) -> list[tuple[int, int, bytes]]:
+    """Marks of the strings that `mark` finds in the stretches of some blobs, whole keys at a time.
+
+    `owners` tells apart the documents of a key that have different results; without it each is its own.
+    """
     every, sizes, whole = _opened(blobs)
     if not len(every):
         return []
     ends = np.cumsum(sizes)
-    numbers: dict[tuple, int] = {}  # equal stretches of one document are compared once
-    copy_of = np.array([numbers.setdefault((k, d, whole[b - n : b]), len(numbers)) for k, d, b, n in zip(every["key"].tolist(), every["doc"].tolist(), ends.tolist(), sizes.tolist())])
+    of = every["doc"].tolist() if owners is None else owners(every["key"], every["doc"]).tolist()
+    numbers: dict[tuple, int] = {}  # equal stretches of one key and owner are compared once
+    copy_of = np.array([numbers.setdefault((k, d, whole[b - n : b]), len(numbers)) for k, d, b, n in zip(every["key"].tolist(), of, ends.tolist(), sizes.tolist())])
     once = np.unique(copy_of, return_index=True)[1]
     data = np.frombuffer(b"".join(raw for _, _, raw in numbers), dtype=np.uint8)
-    del numbers, whole
+    del numbers, whole, of
     marks, size = every[once], sizes[once]
     start = np.cumsum(size) - size
     found = np.zeros(len(data), dtype=bool)
@@ -539,8 +567,8 @@ def _decided(blobs, mark, blocks: int) -> list[tuple[int, int, bytes]]:
 def _compare_bytes(blocks: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = [rows[rows["kind"] == COVERED]]
-        for kind, mark in ((ASKED, mark_strings), (COPIED, mark_copies)):
-            out.append(_frame(_decided(rows["blob"][rows["kind"] == kind], mark, blocks)))
+        for kind, mark, owners in ((ASKED, mark_strings, None), (COPIED, mark_copies, followers)):
+            out.append(_frame(_decided(rows["blob"][rows["kind"] == kind], mark, blocks, owners)))
         return pd.concat(out)
 
     return run
