@@ -67,15 +67,21 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD
 
 
 def pack(entries: np.ndarray) -> bytes:
-    """Bytes of a record array, like bytes side by side, compressed."""
-    planes = entries.view(np.uint8).reshape(len(entries), entries.dtype.itemsize).T
-    return len(entries).to_bytes(8, "little") + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    """Bytes of a record array, like bytes side by side, compressed; documents and starts as steps, which are short in their order."""
+    steps = entries.copy()
+    for name in ("doc", "start"):
+        steps[name][1:] -= entries[name][:-1]
+    planes = steps.view(np.uint8).reshape(len(steps), steps.dtype.itemsize).T
+    return len(steps).to_bytes(8, "little") + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
     planes = np.frombuffer(zstandard.decompress(blob[8:]), dtype=np.uint8).reshape(dtype.itemsize, n)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    out = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    for name in ("doc", "start"):
+        out[name] = np.cumsum(out[name], dtype=dtype[name])
+    return out
 
 
 def unpack_all(blobs, dtype: np.dtype) -> np.ndarray:
@@ -147,8 +153,8 @@ def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor:
 
         left = beside(spot - SIDE, spot - SIDE >= start)
         right = beside(spot + anchor, spot + anchor + SIDE <= stop + length)
-    # 48 bits of the anchor go on, 24 of the bytes and 16 of each side
-    return start, stop - start, key[spot] >> np.uint64(16), (hashed >> np.uint64(40)).astype(np.uint32), left, right
+    # 40 bits of the anchor go on, 24 of the bytes and 16 of each side
+    return start, stop - start, key[spot] >> np.uint64(24), (hashed >> np.uint64(40)).astype(np.uint32), left, right
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -316,7 +322,7 @@ def _scan(shards: int, blocks: int):
                 entries, places = _entries(ids, texts)
                 twin = joined(entries, places, np.frombuffer(b"".join(texts), dtype=np.uint8))
                 marks, entries = _marks(entries, twin), entries[~twin]
-                held.append((entries[np.argsort(entries["key"])], marks))
+                held.append((entries, marks))
                 if sum(len(e) for e, _ in held) >= min(HELD, EACH * shards):
                     yield packed()
         if held:
@@ -340,7 +346,7 @@ def _compare_hashes(blocks: int):
         share = (rank - rank[leader]) // CROWD if len(some) else rank
         with np.errstate(over="ignore"):
             mixed = _mix(some["key"] * _A + some["hash"].astype(np.uint64) * _B + some["left"].astype(np.uint64) * _C)
-            mixed = _mix(mixed + some["right"].astype(np.uint64) * _A + some["more"].astype(np.uint64) * _B + share.astype(np.uint64) * _C) >> np.uint64(16)
+            mixed = _mix(mixed + some["right"].astype(np.uint64) * _A + some["more"].astype(np.uint64) * _B + share.astype(np.uint64) * _C) >> np.uint64(16)  # 48 bits
         at = np.flatnonzero(copy)
         shares, index = np.unique(mixed[at], return_index=True)
         copied, leading = _marks(some, at), _marks(some, leader[at[index]])
@@ -351,9 +357,9 @@ def _compare_hashes(blocks: int):
         _, of, times = np.unique(first["key"][asked], return_inverse=True, return_counts=True)
         crowded = asked.copy()
         crowded[asked] = times[of] > CROWD if len(times) else False
-        out = _rows(_block(copied["doc"], blocks), COPIED, copied) + _rows(_block(leading["doc"], blocks), LEADING, leading)
-        for kind, keep in ((ASKED, asked & ~crowded), (CROWDED, crowded)):
-            marks = _marks(first, keep)
+        out = []
+        for kind, marks in ((COPIED, copied), (LEADING, leading), (ASKED, _marks(first, asked & ~crowded)), (CROWDED, _marks(first, crowded))):
+            marks = marks[np.lexsort((marks["start"], marks["doc"]))]
             out += _rows(_block(marks["doc"], blocks), kind, marks)
         return _frame(out)
 
@@ -425,6 +431,8 @@ def _fetch(shards: int, blocks: int):
             rows += _rows(_block(found["doc"], blocks), COVERED, found)
             marks, where, size = marks[~twin], where[~twin], size[~twin]
             to = kind if kind == COPIED else ASKED
+            by = np.argsort(where)
+            marks, where, size = marks[by], where[by], size[by]
             for part, some in _by_part(_shard(marks["key"], shards)):
                 head = pack(marks[some])
                 raw = b"".join(data[a : a + n] for a, n in zip(where[some].tolist(), size[some].tolist()))
