@@ -78,7 +78,7 @@ def pack(entries: np.ndarray) -> bytes:
 def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
     planes = np.frombuffer(zstandard.decompress(blob[8:]), dtype=np.uint8).reshape(dtype.itemsize, n)
-    out = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    out = planes.T.copy().reshape(-1).view(dtype)
     for name in ("doc", "start"):
         out[name] = np.cumsum(out[name], dtype=dtype[name])
     return out
