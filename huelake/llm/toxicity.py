@@ -2,18 +2,24 @@
 
 A word is the bag of its hashed character n-grams and of itself; a bag's vector is the
 mean of its embeddings, a passage's the sum over its distinct words by its length, and a
-softmax over two classes reads it. The bias is set on a part of the sample kept apart. Misspellings share n-grams with what was learnt. A document is scored
+softmax over two classes reads it. A document is scored
 by its most toxic passage of `WINDOW` words, over all passages of the whole text, since
 an average over a long text would drown a few words; training picks each document's
 highest passage likewise, after a start on words drawn from the whole text.
 
+The score is a probability at even odds: a part of the sample that is kept apart from
+training fits a logistic curve over the softmax's logits (slope and intercept, by maximum
+likelihood with smoothed targets), in which both classes weigh the same, as the share of
+toxic rows among the labels need not be that of the documents.
+
 Labels are learnt from a bounded sample (`per_class` rows a class, texts up to
 `max_chars`). After training a word's whole share in the logit is one number, which
 workers remember for words they have met.
 
 Defined results: null or word-less texts have score 0; without both labels to learn from
-every score is 0; repeated labels of one document count once each; other columns are
-ignored.
+every score is 0; of passages that tie the first counts; repeated rows of a document are
+scored alike, and repeated labels count once each; labels other than 0 and 1 are not
+learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ WORDS = re.compile(r"[^\W_]+")
 WINDOW = 16
 #: Words of a text that training starts from.
 START = 64
-#: Part of the sample that only sets the bias, and the score that it is set for.
-CALIBRATE, AT = 0.2, 0.7
+#: Part of the sample that only makes logits probabilities.
+CALIBRATE = 0.2
 BUCKETS = 1 << 17
 DIMS = 8
 SIZES = (3, 4, 5)
@@ -92,7 +98,13 @@ class Model:
         self.__init__(**state)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
+        """Probabilities; 0 for texts without words."""
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-self.logits(texts)))
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """Log odds of each text's highest passage; minus infinity for texts without words."""
+        out = np.full(len(texts), -np.inf)
         if self.weight is None:
             return out
         if len(self._at) > MEMORY:
@@ -110,8 +122,7 @@ class Model:
         for i, words in enumerate(parts):
             if words:
                 shares = np.fromiter(map(self._at.__getitem__, words), dtype=float, count=len(words))
-                top = best_window(once(shares, words))[0] + self.bias
-                out[i] = 1.0 / (1.0 + np.exp(-np.clip(top, -40, 40)))
+                out[i] = best_window(once(shares, words))[0] + self.bias
         return out
 
 
@@ -185,25 +196,40 @@ def fit(rows: list[tuple[int, str]], *, start_rounds: int = 15, rounds: int = 80
             params[i] = params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
     emb, soft, bias = params
     model = Model(emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
-    model.bias += calibration(model, kept_apart)
-    return model
+    slope, intercept = calibration(model, kept_apart)
+    return Model(slope * model.weight, slope * model.bias + intercept)
 
 
-def calibration(model: Model, rows: list[tuple[int, str]], clean_counts: float = 5.0) -> float:
-    """The shift of the bias with which a score of AT errs least on rows kept apart."""
+def calibration(model: Model, rows: list[tuple[int, str]], rounds: int = 100) -> tuple[float, float]:
+    """Slope and intercept that turn the model's logits into log odds, by Newton's steps on rows kept apart."""
     y = np.array([label for label, _ in rows])
-    if len(set(y.tolist())) < 2:
-        return 0.0
-    p = np.clip(model.scores([t for _, t in rows]), 1e-12, 1 - 1e-12)
-    logit = np.log(p / (1 - p))
-    cuts = np.quantile(logit, np.linspace(0.02, 0.98, 97))
-    loss = [np.mean(logit[y == 1] < c) + clean_counts * np.mean(logit[y == 0] >= c) for c in cuts]
-    best = np.flatnonzero(np.isclose(loss, min(loss)))
-    return float(np.log(AT / (1 - AT)) - (cuts[best[0]] + cuts[best[-1]]) / 2)
+    many = np.bincount(y, minlength=2)[:2] if len(y) else np.zeros(2)
+    if not many.all():
+        return 1.0, 0.0
+    z = model.logits([t for _, t in rows])
+    y, z = y[np.isfinite(z)], z[np.isfinite(z)]
+    weight = (0.5 / many)[y]
+    target = np.where(y == 1, (many[1] + 1) / (many[1] + 2), 1 / (many[0] + 2))
+    x = np.stack((z, np.ones(len(z))), axis=1)
+
+    def loss(w: np.ndarray) -> float:
+        t = x @ w
+        return float((weight * (np.logaddexp(0, t) - target * t)).sum())
+
+    at = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -40, 40)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (weight * (p - target)))
+        while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        at = at - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_class: int, max_chars: int) -> list[tuple[int, str]]:
-    """About `per_class` labelled rows of each class at most, chosen by the hash of doc_id.
+    """(label, text) of about `per_class` rows of each label at most, chosen by the hash of doc_id.
 
     The chosen ids are bounded by the parameter, so they are broadcast to find their texts.
     """
