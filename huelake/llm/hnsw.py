@@ -32,9 +32,9 @@ from .common import durable, give_back
 #: Nodes of a shard, and queries that one task asks it.
 SHARD_ROWS = 65_536
 QUERY_BLOCK = 16_384
-LINKS = 16
+LINKS = 24
 #: Widths of the beams of a search and of an insertion, and nodes that a walk opens at once.
-BREADTH, BUILD_BREADTH, OPENED = 96, 128, 4
+BREADTH, BUILD_BREADTH, OPENED = 160, 96, 8
 #: Walks that run together; with the nodes of a shard it bounds a task's memory.
 TOGETHER = 512
 #: Places of a node's first child and next sibling in the tree.
@@ -90,7 +90,7 @@ class Graph:
         rng = np.random.default_rng(seed)
         levels = np.minimum((-np.log(1 - rng.random(n)) / math.log(links)).astype(np.int64), 12)
         self.order = np.argsort(-levels, kind="stable")  # nodes of higher layers come first
-        self.vectors = vectors[self.order]
+        self.vectors = vectors[self.order].astype(np.float32)  # enough to choose links by, and faster
         self.count = [int((levels >= layer).sum()) for layer in range(int(levels.max(initial=0)) + 1)]
         self.neighbours = [np.full((k, places_of(layer, links) + TREE), -1, dtype=np.int32) for layer, k in enumerate(self.count)]
         self.visited = 0
@@ -99,6 +99,7 @@ class Graph:
             upto = min(n, done + min(done, TOGETHER))
             self._insert(done, upto)
             done = upto
+        self.vectors = vectors[self.order]
 
     @classmethod
     def of(cls, vectors: np.ndarray, order: np.ndarray, count: list[int], neighbours: list[np.ndarray]) -> Graph:
