@@ -8,11 +8,11 @@ over Arrow batches (no row per pair, first index wins), `join` keeps all pairs i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.algorithm import Algorithm
 from ..functions.colors import delta_e_76_sq, delta_e_94_sq, lut_cell, with_delta_e_2000, with_lab
@@ -26,18 +26,30 @@ CELLS_PER_TASK = 8
 MOST_SL = 1.75
 
 
-def nearest_arrow(colors: DataFrame, palette: DataFrame, algorithm: Algorithm) -> DataFrame:
-    """(r, g, b, palette_idx, color_id) of distinct colours."""
+def spread(colors: DataFrame) -> DataFrame:
+    """Distinct colours over all cores: they are few bytes, but much work."""
+    return colors.select(*[F.col(c).cast("int").alias(c) for c in RGB]).repartition(4 * colors.sparkSession.sparkContext.defaultParallelism)
+
+
+def named(colors: DataFrame, palette: DataFrame, winners: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(r, g, b, palette_idx, color_id) of distinct colours; `winners` finds entries of colours, given the palette's L, a, b and chroma."""
     shared = colors.sparkSession.sparkContext.broadcast(PaletteArrays(palette))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             rgb = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
-            best = nearest_index(rgb, known.lab, algorithm)
+            best = winners(rgb, known.lab)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.idx[best]), pa.array(known.ids[best])], [*RGB, "palette_idx", "color_id"])
 
-    return colors.select(*[F.col(c).cast("int").alias(c) for c in RGB]).mapInArrow(run, "r int, g int, b int, palette_idx long, color_id long")
+    return spread(colors).mapInArrow(run, "r int, g int, b int, palette_idx long, color_id long")
+
+
+def nearest_arrow(colors: DataFrame, palette: DataFrame, algorithm: Algorithm) -> DataFrame:
+    """(r, g, b, palette_idx, color_id) of distinct colours."""
+    if algorithm in (Algorithm.CIEDE2000, Algorithm.CIEDE2000_EXACT):
+        return named(colors, palette, nearest_by_part)
+    return named(colors, palette, lambda rgb, lab: nearest_index(rgb, lab, algorithm))
 
 
 def checked_palette(palette: DataFrame) -> DataFrame:
@@ -66,18 +78,24 @@ def nearest_join(colors: DataFrame, palette: DataFrame, algorithm: Algorithm) ->
     return best.select(*RGB, "best.palette_idx", "best.color_id")
 
 
+def prefiltered_index(rgb: np.ndarray, palette_lab: np.ndarray, keep: int = 96, rows: int = 512) -> np.ndarray:
+    """Of each colour's `keep` nearest entries by Delta E 76 (the lower index first where they tie), the first with the least CIEDE2000."""
+    lab = rgb_to_lab(rgb)
+    out = np.empty(len(rgb), dtype=np.int64)
+    for i in range(0, len(rgb), rows):
+        some = lab[i : i + rows]
+        near = np.argsort(plain_distance(palette_lab[None, :, :], some[:, None, :]), axis=1, kind="stable")[:, :keep]
+        out[i : i + rows] = near[np.arange(len(near)), delta_e_2000_sq(palette_lab[near], some[:, None, :]).argmin(axis=1)]
+    return out
+
+
 def nearest_prefiltered(colors: DataFrame, palette: DataFrame, keep: int = 96) -> DataFrame:
-    """Approximate CIEDE2000: the `keep` nearest by Delta E 76, then the least CIEDE2000 in that order."""
-    asked = with_lab(colors.select(*RGB), prefix="q_")
-    pairs = pair_distance(asked.join(checked_palette(palette), F.lit(True)), Algorithm.DELTA_E_76, "d76")
-    order = Window.partitionBy(*RGB).orderBy("d76", "palette_idx")
-    near = pair_distance(pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep), Algorithm.CIEDE2000)
-    best = near.groupBy(*RGB).agg(F.min(F.struct("dist", "place", "palette_idx", "color_id")).alias("best"))
-    return best.select(*RGB, "best.palette_idx", "best.color_id")
+    """Approximate CIEDE2000: the `keep` nearest by Delta E 76, then the least CIEDE2000 in that order. No row per pair."""
+    return named(colors, palette, lambda rgb, lab: prefiltered_index(rgb, lab, keep))
 
 
-def cell_winners(rgb: np.ndarray, palette_lab: np.ndarray) -> np.ndarray:
-    """Indexes of the entries that win CIEDE2000 for some of the colours, which lie close together.
+def nearest_close(rgb: np.ndarray, palette_lab: np.ndarray) -> np.ndarray:
+    """Indexes of the nearest entries by CIEDE2000 of colours that lie close together.
 
     A distance is at least the difference of lightness over MOST_SL, so entries that differ by more
     than the worst colour's distance to one of eight near entries cannot win and are not compared.
@@ -88,7 +106,23 @@ def cell_winners(rgb: np.ndarray, palette_lab: np.ndarray) -> np.ndarray:
     light = palette_lab[:, 0]
     gap = np.maximum(np.maximum(lab[:, 0].min() - light, light - lab[:, 0].max()), 0.0) / MOST_SL
     able = np.flatnonzero(gap * gap <= most)  # in order, so that the lowest index wins ties as before
-    return np.unique(able[nearest_index(rgb, palette_lab[able], Algorithm.CIEDE2000)])
+    return able[nearest_index(rgb, palette_lab[able], Algorithm.CIEDE2000)]
+
+
+def nearest_by_part(rgb: np.ndarray, palette_lab: np.ndarray) -> np.ndarray:
+    """The same for any colours, one part of 16 x 16 x 16 of the colour cube after the other."""
+    part = (rgb[:, 0] >> 4 << 8) | (rgb[:, 1] >> 4 << 4) | (rgb[:, 2] >> 4)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1])))
+    out = np.empty(len(rgb), dtype=np.int64)
+    for some in np.split(order, cuts[1:]) if len(order) else ():
+        out[some] = nearest_close(rgb[some], palette_lab)
+    return out
+
+
+def cell_winners(rgb: np.ndarray, palette_lab: np.ndarray) -> np.ndarray:
+    """Indexes of the entries that win CIEDE2000 for some of the colours, which lie close together."""
+    return np.unique(nearest_close(rgb, palette_lab))
 
 
 def build_lut(spark, palette: DataFrame, cells: DataFrame | None = None) -> DataFrame:

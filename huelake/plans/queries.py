@@ -223,45 +223,40 @@ def pow7(spark, sf_dir):
 # ---- nearest ----
 
 
-def asked_bins(spark, sf_dir) -> DataFrame:
-    """Colours to name: the centres of the five largest bins of each frame."""
-    top = hist.top_bins(hist.color_histogram(fx.pixels(spark, sf_dir)), 5)
-    return top.select(*[colors.bin_center(F.col(f"{c}5")).alias(c) for c in "rgb"]).distinct()
-
-
-ASKED = f"(SELECT DISTINCT r5 * 8 + 4 AS r, g5 * 8 + 4 AS g, b5 * 8 + 4 AS b FROM {TOP} t)"
+#: Colours to name: all that the pixels have.
+ASKED = fx.COLORS
 
 
 @query(wanted(winner(q.add(pairs(ASKED), dist=q.de76())), **FOUND))
 def nearest_delta_e_76(spark, sf_dir):
-    return typed(near.nearest(asked_bins(spark, sf_dir), fx.palette(spark, sf_dir), "delta-e-76"), **FOUND)
+    return typed(near.nearest(distinct_colors(spark, sf_dir), fx.palette(spark, sf_dir), "delta-e-76"), **FOUND)
 
 
 @query(wanted(winner(q.add(pairs(ASKED, fx.L2), dist=q.de76())), **FOUND))
 def nearest_delta_e_76_ties(spark, sf_dir):
-    return typed(near.nearest(asked_bins(spark, sf_dir), fx.tied_palette(spark, sf_dir), "delta-e-76", engine="join"), **FOUND)
+    return typed(near.nearest(distinct_colors(spark, sf_dir), fx.tied_palette(spark, sf_dir), "delta-e-76", engine="join"), **FOUND)
 
 
 @query(wanted(winner(q.add(pairs(ASKED), dist=q.de94())), **FOUND))
 def nearest_cie94(spark, sf_dir):
-    return typed(near.nearest(asked_bins(spark, sf_dir), fx.palette(spark, sf_dir), "cie94"), **FOUND)
+    return typed(near.nearest(distinct_colors(spark, sf_dir), fx.palette(spark, sf_dir), "cie94"), **FOUND)
 
 
 @query(wanted(winner(q.with_de00(pairs(ASKED))), **FOUND))
 def nearest_ciede2000(spark, sf_dir):
-    return typed(near.nearest(asked_bins(spark, sf_dir), fx.palette(spark, sf_dir), "ciede2000"), **FOUND)
+    return typed(near.nearest(distinct_colors(spark, sf_dir), fx.palette(spark, sf_dir), "ciede2000"), **FOUND)
 
 
 @query(ORACLES["nearest_ciede2000"])
 def nearest_ciede2000_lut(spark, sf_dir):
-    asked = asked_bins(spark, sf_dir)
+    asked = distinct_colors(spark, sf_dir)
     lut = near.build_lut(spark, fx.palette(spark, sf_dir), asked.select(colors.lut_cell(*map(F.col, "rgb")).alias("cell")))
     return typed(near.nearest(asked, fx.palette(spark, sf_dir), "ciede2000-exact", lut=lut), **FOUND)
 
 
 @query(ORACLES["nearest_ciede2000"])
 def nearest_ciede2000_exact(spark, sf_dir):
-    return typed(near.nearest(asked_bins(spark, sf_dir), fx.palette(spark, sf_dir), Algorithm.CIEDE2000_EXACT), **FOUND)
+    return typed(near.nearest(distinct_colors(spark, sf_dir), fx.palette(spark, sf_dir), Algorithm.CIEDE2000_EXACT), **FOUND)
 
 
 _WORDS = {"delta-e-76": "nearest_delta_e_76", "cie94": "nearest_cie94", "ciede2000": "nearest_ciede2000", "ciede2000-exact": "nearest_ciede2000"}
@@ -270,7 +265,7 @@ _WORDS = {"delta-e-76": "nearest_delta_e_76", "cie94": "nearest_cie94", "ciede20
 @query(" UNION ALL ".join(f"SELECT *, '{word}' AS algorithm FROM ({ORACLES[name]}) t" for word, name in _WORDS.items()))
 def nearest(spark, sf_dir):
     """The dispatch by word: each algorithm's answers, one below the other."""
-    asked, palette = asked_bins(spark, sf_dir), fx.palette(spark, sf_dir)
+    asked, palette = distinct_colors(spark, sf_dir), fx.palette(spark, sf_dir)
     first, *rest = (typed(near.nearest(asked, palette, word), **FOUND).withColumn("algorithm", F.lit(word)) for word in _WORDS)
     for df in rest:
         first = first.union(df)
@@ -280,7 +275,8 @@ def nearest(spark, sf_dir):
 _SPELLINGS = ("delta-e-76", "DELTA-E-76", "Cie94", "ciede2000", "CIEDE2000-Exact", " cie94", "cie-94", "")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', {f"'{x.lower()}'" if x.lower() in _WORDS else 'NULL'})" for x in _SPELLINGS) + ") t(given, word)")
+@query("""SELECT * FROM (VALUES ('delta-e-76', 'delta-e-76'), ('DELTA-E-76', 'delta-e-76'), ('Cie94', 'cie94'), ('ciede2000', 'ciede2000'),
+('CIEDE2000-Exact', 'ciede2000-exact'), (' cie94', NULL), ('cie-94', NULL), ('', NULL)) t(given, word)""")
 def parse_algorithm(spark, sf_dir):
     """The word of each spelling; null where it is refused."""
 
@@ -298,27 +294,22 @@ _NEAR96 = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, g, b OR
 
 @query(wanted(winner(q.with_de00(_NEAR96), "dist, place"), **FOUND))
 def nearest_ciede2000_prefiltered(spark, sf_dir):
-    return typed(near.nearest_prefiltered(asked_bins(spark, sf_dir), fx.palette(spark, sf_dir)), **FOUND)
-
+    return typed(near.nearest_prefiltered(distinct_colors(spark, sf_dir), fx.palette(spark, sf_dir)), **FOUND)
 
-_CELLS = (0, 4228, 16912, 32767)
-_CELL_COLORS = "(SELECT cell, (cell // 1024) * 8 + x // 64 AS r, (cell // 32 % 32) * 8 + x // 8 % 8 AS g, (cell % 32) * 8 + x % 8 AS b FROM (SELECT unnest([" + ", ".join(map(str, _CELLS)) + "]) AS cell) c CROSS JOIN (SELECT range AS x FROM range(0, 512)) x)"
-_LUT = f"(SELECT DISTINCT cell, palette_idx FROM {winner(q.with_de00(pairs(_CELL_COLORS)))} t)"
 
+def pixel_lut(spark, sf_dir) -> DataFrame:
+    """The candidates of all cells that the pixels fall into. Without SQL: it would compare some 2 million colours with every entry."""
+    return near.build_lut(spark, fx.palette(spark, sf_dir), distinct_colors(spark, sf_dir).select(colors.lut_cell(*map(F.col, "rgb")).alias("cell")))
 
-def some_lut(spark, sf_dir) -> DataFrame:
-    """The table of four cells, few enough for the SQL; the queries _all_cells build the whole table."""
-    return near.build_lut(spark, fx.palette(spark, sf_dir), spark.createDataFrame([(c,) for c in _CELLS], "cell int"))
 
-
-@query(wanted(_LUT, cell="long", palette_idx="long"))
+@query()
 def candidate_lut_build(spark, sf_dir):
-    return typed(some_lut(spark, sf_dir), cell="long", palette_idx="long")
+    return typed(pixel_lut(spark, sf_dir), cell="long", palette_idx="long")
 
 
-@query(wanted(f"(SELECT sum(n) AS total, avg(n) AS average, max(n) AS most FROM (SELECT cell, count(*) AS n FROM {_LUT} l GROUP BY cell) t)", total="long", average="double", most="long"))
+@query()
 def lut_statistics(spark, sf_dir):
-    return typed(near.lut_statistics(some_lut(spark, sf_dir)), total="long", average="double", most="long")
+    return typed(near.lut_statistics(pixel_lut(spark, sf_dir)), total="long", average="double", most="long")
 
 
 @query()
@@ -544,12 +535,23 @@ def palette_build(spark, sf_dir):
     return typed(pal.build_palette(hierarchy, fx.ledger(spark, sf_dir)), **PALETTE)
 
 
-@query()
+_UPDATED = f"""(SELECT id, name AS xkcd_color, false AS retired FROM (SELECT n.name, coalesce(l.id, m.top + row_number() OVER (PARTITION BY l.id IS NULL ORDER BY n.palette_idx)) AS id
+FROM {fx.NAMES} n LEFT JOIN {fx.LEDGER} l ON l.xkcd_color = n.name CROSS JOIN (SELECT max(id) AS top FROM {fx.LEDGER} x) m) r
+UNION ALL SELECT id, xkcd_color, true FROM {fx.LEDGER} l WHERE NOT EXISTS (SELECT 1 FROM {fx.NAMES} n WHERE n.name = l.xkcd_color))"""
+
+
+@query(wanted(_UPDATED, **LEDGER))
 def ledger_update(spark, sf_dir):
     return typed(led.update(fx.names(spark, sf_dir), fx.ledger(spark, sf_dir), allow_retire_and_mint=True, allow_revival=True), **LEDGER)
 
 
-@query()
+#: FNV-1a of 64 bits as a fold over the bytes of all rows, in hexadecimal pairs: two of the id, the name, ff.
+_BYTES = f"(SELECT string_agg(printf('%02x%02x', cast(id % 256 AS INTEGER), cast(id // 256 AS INTEGER)) || lower(hex(encode(xkcd_color))) || 'ff', '' ORDER BY id) AS x FROM {fx.LEDGER} l)"
+_STEPS = "list_transform(range(0, cast(length(x) // 2 AS BIGINT)), lambda i: cast(cast('0x' || substr(x, cast(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS HUGEINT))"
+_FOLD = f"list_reduce(list_prepend(cast(14695981039346656037 AS HUGEINT), {_STEPS}), lambda a, b: (xor(a, b) * cast(1099511628211 AS HUGEINT)) % cast(18446744073709551616 AS HUGEINT))"
+
+
+@query(f"SELECT '0x' || lower(printf('%08x%08x', cast(v // 4294967296 AS BIGINT), cast(v % 4294967296 AS BIGINT))) AS fingerprint FROM (SELECT {_FOLD} AS v FROM {_BYTES} t) t")
 def assignment_fingerprint(spark, sf_dir):
     value = led.assignment_fingerprint(fx.ledger(spark, sf_dir))
     return spark.createDataFrame([(f"0x{value:016x}",)], "fingerprint string")
