@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.algorithm import Algorithm
 from ..functions.metrics import nearest_index
-from ..sources.frames import U32_MAX, good_frames, plane_pixels, to_rgb8, validate_frames
+from ..sources.frames import U32_MAX, frames_of, good_frames, to_rgb8, validate_frames
 from ..sources.palette import PaletteArrays
 from .histogram import color_histogram
 
 SIDE = 32
 MAX_BOXES = 256
 MAX_ROUNDS = 1000
+#: Pixels of a frame that are summed at once.
+PIXELS = 1 << 18
 DOMINANTS = "frame_id long, rank int, r int, g int, b int, population long, percentage double"
 
 
@@ -152,7 +154,8 @@ def mmcq_pixels(pixels: DataFrame, count: int) -> DataFrame:
 def extract(frames: DataFrame, count: int, palette: DataFrame, algorithm: Algorithm | str | None = None) -> DataFrame:
     """Dominant colours of valid 8-bit frames with the palette entry of each. One pass, no shuffle.
 
-    The palette is bounded by its ids and travels with the function.
+    Spark bounds a batch of frames by spark.sql.execution.arrow.maxBytesPerBatch; a frame is read
+    where it lies in its batch. The palette is bounded by its ids and travels with the function.
     """
     algorithm = Algorithm.default() if algorithm is None else algorithm if isinstance(algorithm, Algorithm) else Algorithm.parse(algorithm)
     shared = frames.sparkSession.sparkContext.broadcast(PaletteArrays(palette))
@@ -161,10 +164,12 @@ def extract(frames: DataFrame, count: int, palette: DataFrame, algorithm: Algori
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
-                px = plane_pixels(row["rgb"], row["width"], row["height"], row["stride"])
-                cells = (px[:, 0].astype(np.int64) >> 3 << 10) | (px[:, 1].astype(np.int64) >> 3 << 5) | (px[:, 2] >> 3)
-                rows += _rows(row["frame_id"], _dense(cells), count)
+            for frame_id, px in frames_of(batch):
+                hist = np.zeros(SIDE**3, dtype=np.int64)
+                for i in range(0, len(px), PIXELS):
+                    part = px[i : i + PIXELS]
+                    hist += np.bincount((part[:, 0].astype(np.int64) >> 3 << 10) | (part[:, 1].astype(np.int64) >> 3 << 5) | (part[:, 2] >> 3), minlength=SIDE**3)
+                rows += _rows(frame_id, hist.reshape(SIDE, SIDE, SIDE), count)
             if rows:
                 known = shared.value
                 best = nearest_index(np.array([r[2:5] for r in rows]), known.lab, algorithm)

@@ -22,6 +22,9 @@ from ..sources.palette import MAX_ROWS, PaletteArrays
 RGB = ["r", "g", "b"]
 #: Cells of the candidate table that one task fills: 512 colours against the palette each.
 CELLS_PER_TASK = 8
+CELLS = 32768
+#: Largest candidate table that goes to the tasks as arrays.
+LUT_ROWS = 1 << 22
 #: Upper bound of CIEDE2000's weight of lightness, 1 + 0.015 * 2500 / sqrt(2520) at L of 0 and 100.
 MOST_SL = 1.75
 
@@ -154,10 +157,36 @@ def lut_statistics(lut: DataFrame) -> DataFrame:
     return lut.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("total"), F.avg("n").alias("average"), F.max("n").alias("most"))
 
 
+def lut_index(rgb: np.ndarray, palette_lab: np.ndarray, first: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Indexes of the nearest entries by CIEDE2000 among those of each colour's cell: `entries` from first[cell] to first[cell + 1], in order."""
+    cell = (rgb[:, 0] >> 3 << 10) | (rgb[:, 1] >> 3 << 5) | (rgb[:, 2] >> 3)
+    many = first[cell + 1] - first[cell]
+    heads = np.cumsum(many) - many
+    if len(many) and not many.all():
+        raise ValueError("a colour's cell is not in the candidate table")
+    tried = entries[np.repeat(first[cell] - heads, many) + np.arange(int(many.sum()))]
+    distance = delta_e_2000_sq(palette_lab[tried], np.repeat(rgb_to_lab(rgb), many, axis=0))
+    least = np.flatnonzero(distance == np.repeat(np.minimum.reduceat(distance, heads), many)) if len(many) else heads
+    return tried[least[np.searchsorted(least, heads)]]  # the first of a cell's least
+
+
 def nearest_lut(colors: DataFrame, palette: DataFrame, lut: DataFrame) -> DataFrame:
-    """CIEDE2000 over the candidates of a colour's cell only: an equi-join in place of all pairs."""
+    """CIEDE2000 over the candidates of a colour's cell only.
+
+    A table of up to LUT_ROWS rows, by count, goes to the tasks as arrays; a larger one is joined by cell.
+    """
+    rows = lut.select(F.col("cell").cast("int").alias("cell"), F.col("palette_idx").cast("long").alias("palette_idx"))
+    if rows.limit(LUT_ROWS + 1).count() <= LUT_ROWS:
+        table = rows.distinct().toArrow()
+        cell, idx = (table.column(k).to_numpy() for k in range(2))
+        order = np.lexsort((idx, cell))
+        first = np.searchsorted(cell[order], np.arange(CELLS + 1))
+        known = PaletteArrays(palette)
+        entries = np.searchsorted(known.idx, idx[order])
+        shared = colors.sparkSession.sparkContext.broadcast((first, entries))
+        return named(colors, palette, lambda rgb, lab: lut_index(rgb.astype(np.int64), lab, *shared.value))
     asked = with_lab(colors.select(*RGB), prefix="q_").withColumn("cell", lut_cell(*map(F.col, RGB)))
-    pairs = pair_distance(asked.join(lut, "cell").join(checked_palette(palette), "palette_idx"), Algorithm.CIEDE2000)
+    pairs = pair_distance(asked.join(rows, "cell").join(checked_palette(palette), "palette_idx"), Algorithm.CIEDE2000)
     best = pairs.groupBy(*RGB).agg(F.min(F.struct("dist", "palette_idx", "color_id")).alias("best"))
     return best.select(*RGB, "best.palette_idx", "best.color_id")
 

@@ -317,11 +317,6 @@ def candidate_lut_build_all_cells(spark, sf_dir):
     return typed(near.build_lut(spark, fx.palette(spark, sf_dir)), cell="long", palette_idx="long")
 
 
-@query()
-def lut_statistics_all_cells(spark, sf_dir):
-    return typed(near.lut_statistics(near.build_lut(spark, fx.palette(spark, sf_dir))), total="long", average="double", most="long")
-
-
 # ---- histograms and boxes ----
 
 HISTO = dict(frame_id="long", r5="long", g5="long", b5="long", cnt="long")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 RGB8 = "frame_id long, width long, height long, stride long, rgb binary"
 RGB16 = "frame_id long, width long, height long, stride long, rgb16 array<int>"
 U32_MAX = 4294967295
+#: Bytes of 8-bit planes that are made at once.
+PLANES = 1 << 24
 
 
 def frame_error(width: Column, height: Column, stride: Column, length: Column) -> Column:
@@ -41,22 +43,32 @@ def good_frames(frames: DataFrame) -> DataFrame:
     return frames.where(F.col("error").isNull())
 
 
-def plane_pixels(plane: bytes, width: int, height: int, stride: int) -> np.ndarray:
-    """(pixels, 3) in raster order, without the padding of the rows."""
+def plane_pixels(plane, width: int, height: int, stride: int) -> np.ndarray:
+    """(pixels, 3) in raster order, without the padding of the rows. `plane`: bytes or a buffer."""
     rows = np.frombuffer(plane, dtype=np.uint8)[: stride * height].reshape(height, stride)
     return rows[:, : 3 * width].reshape(-1, 3)
 
 
+def frames_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(frame_id, pixels) of a batch of RGB8 rows, one after the other; the planes are views of the batch, not copies."""
+    ids, *shape = (batch.column(c).to_pylist() for c in ("frame_id", "width", "height", "stride"))
+    for i, (width, height, stride) in enumerate(zip(*shape)):
+        yield ids[i], plane_pixels(batch.column("rgb")[i].as_buffer(), width, height, stride)
+
+
 def frame_pixels(frames: DataFrame) -> DataFrame:
-    """A row (frame_id, r, g, b) for each pixel of valid 8-bit frames, through Arrow batches of one frame at a time."""
+    """A row (frame_id, r, g, b) for each pixel of valid 8-bit frames.
+
+    Pixels leave in Arrow batches of 65,536. Frames come in Arrow batches that Spark bounds by
+    spark.sql.execution.arrow.maxBytesPerBatch (or by maxRecordsPerBatch rows, if that is less).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                px = plane_pixels(row["rgb"], row["width"], row["height"], row["stride"])
+            for frame_id, px in frames_of(batch):
                 for i in range(0, len(px), 1 << 16):
                     part = px[i : i + (1 << 16)].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["frame_id"])), *(pa.array(part[:, k]) for k in range(3))], ["frame_id", "r", "g", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), frame_id)), *(pa.array(part[:, k]) for k in range(3))], ["frame_id", "r", "g", "b"])
 
     return good_frames(validate_frames(frames)).select("frame_id", "width", "height", "stride", "rgb").mapInArrow(run, "frame_id long, r int, g int, b int")
 
@@ -76,8 +88,12 @@ def to_rgb8(frames: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            planes = [None if x is None else (np.asarray(x, dtype=np.int64) >> 8).astype(np.uint8).tobytes() for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(planes, pa.binary())], ["frame_id", "width", "height", "stride", "rgb"])
+            planes, first = [], 0
+            for i in range(batch.num_rows):
+                planes.append((np.asarray(batch.column(4).slice(i, 1).flatten(), dtype=np.int64) >> 8).astype(np.uint8).tobytes())
+                if i + 1 == batch.num_rows or sum(map(len, planes)) > PLANES or len(planes) == 64:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(first, len(planes)) for c in batch.columns[:4]), pa.array(planes, pa.binary())], ["frame_id", "width", "height", "stride", "rgb"])
+                    planes, first = [], i + 1
 
     longs = [F.col(c).cast("long").alias(c) for c in ("frame_id", "width", "height", "stride")]
     return good_frames(good).select(*longs, "rgb16").mapInArrow(run, RGB8)
