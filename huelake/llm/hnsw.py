@@ -90,7 +90,10 @@ class Graph:
         rng = np.random.default_rng(seed)
         levels = np.minimum((-np.log(1 - rng.random(n)) / math.log(links)).astype(np.int64), 12)
         self.order = np.argsort(-levels, kind="stable")  # nodes of higher layers come first
-        self.vectors = vectors[self.order].astype(np.float32)  # enough to choose links by, and faster
+        # single precision is faster to choose links by, and enough unless vectors nearly coincide
+        coarse = np.ascontiguousarray(np.round(vectors, 3).astype(np.float32) + np.float32(0))
+        apart = n < 2 or len(np.unique(coarse.view(np.dtype((np.void, 4 * coarse.shape[1]))).ravel())) == n
+        self.vectors = vectors[self.order].astype(np.float32 if apart else np.float64)
         self.count = [int((levels >= layer).sum()) for layer in range(int(levels.max(initial=0)) + 1)]
         self.neighbours = [np.full((k, places_of(layer, links) + TREE), -1, dtype=np.int32) for layer, k in enumerate(self.count)]
         self.visited = 0
