@@ -61,7 +61,7 @@ COMPARED = 1 << 15
 SIDE = (LENGTH - ANCHOR) // 2
 #: Bytes that one index is made of at a time, where anchors allow.
 INDEX_BYTES = 1 << 20
-ENTRY = np.dtype([("key", "<u8"), ("hash", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
+ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 MARK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -153,8 +153,8 @@ def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor:
 
         left = beside(spot - SIDE, spot - SIDE >= start)
         right = beside(spot + anchor, spot + anchor + SIDE <= stop + length)
-    # 40 bits of the anchor go on, 24 of the bytes and 16 of each side
-    return start, stop - start, key[spot] >> np.uint64(24), (hashed >> np.uint64(40)).astype(np.uint32), left, right
+    # 40 bits of the anchor go on, 48 of the bytes and 16 of each side
+    return start, stop - start, key[spot] >> np.uint64(24), hashed >> np.uint64(16), left, right
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -345,7 +345,7 @@ def _compare_hashes(blocks: int):
         rank = np.cumsum(copy) - 1
         share = (rank - rank[leader]) // CROWD if len(some) else rank
         with np.errstate(over="ignore"):
-            mixed = _mix(some["key"] * _A + some["hash"].astype(np.uint64) * _B + some["left"].astype(np.uint64) * _C)
+            mixed = _mix(some["key"] * _A + some["hash"] * _B + some["left"].astype(np.uint64) * _C)
             mixed = _mix(mixed + some["right"].astype(np.uint64) * _A + some["more"].astype(np.uint64) * _B + share.astype(np.uint64) * _C) >> np.uint64(16)  # 48 bits
         at = np.flatnonzero(copy)
         shares, index = np.unique(mixed[at], return_index=True)
@@ -425,7 +425,7 @@ def _fetch(shards: int, blocks: int):
                 spots = where, where + size - 8
                 ends = [sum(plain[at + k].astype(np.uint64) << np.uint64(8 * k) for k in range(8)) for at in spots]
                 with np.errstate(over="ignore"):
-                    entries["hash"] = (_mix(ends[0] * _A + ends[1] * _B) >> np.uint64(32)).astype(np.uint32)
+                    entries["hash"] = _mix(ends[0] * _A + ends[1] * _B)
             twin = joined(entries, where, plain)
             found = marks[twin]
             rows += _rows(_block(found["doc"], blocks), COVERED, found)
@@ -526,33 +526,38 @@ def followers(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _decided(blobs, mark, blocks: int, owners=None) -> list[tuple[int, int, bytes]]:
+def _decided(blobs, mark, blocks: int, alike: bool = False) -> list[tuple[int, int, bytes]]:
     """Marks of the strings that `mark` finds in the stretches of some blobs, whole keys at a time.
 
-    `owners` tells apart the documents of a key that have different results; without it each is its own.
+    `alike`: a key's stretches are told apart by their bytes, and all but the smallest document's have one result.
     """
     every, sizes, whole = _opened(blobs)
     if not len(every):
         return []
     ends = np.cumsum(sizes)
-    of = every["doc"].tolist() if owners is None else owners(every["key"], every["doc"]).tolist()
-    numbers: dict[tuple, int] = {}  # equal stretches of one key and owner are compared once
-    copy_of = np.array([numbers.setdefault((k, d, whole[b - n : b]), len(numbers)) for k, d, b, n in zip(every["key"].tolist(), of, ends.tolist(), sizes.tolist())])
+    raw = [whole[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist())]
+    key, who = every["key"], every["doc"]
+    if alike:
+        groups: dict[tuple, int] = {}
+        key = np.array([groups.setdefault(x, len(groups)) for x in zip(key.tolist(), raw)], dtype=np.int64)
+        who = followers(key, every["doc"])
+    numbers: dict[tuple, int] = {}  # equal stretches that have one result are compared once
+    copy_of = np.array([numbers.setdefault(x, len(numbers)) for x in zip(key.tolist(), who.tolist(), raw)])
     once = np.unique(copy_of, return_index=True)[1]
-    data = np.frombuffer(b"".join(raw for _, _, raw in numbers), dtype=np.uint8)
-    del numbers, whole, of
-    marks, size = every[once], sizes[once]
+    data = np.frombuffer(b"".join(x for _, _, x in numbers), dtype=np.uint8)
+    del numbers, whole, raw
+    keys, marks, size = key[once], every[once], sizes[once]
     start = np.cumsum(size) - size
     found = np.zeros(len(data), dtype=bool)
-    order = np.argsort(marks["key"], kind="stable")
-    key, at = marks["key"][order], 0
+    order = np.argsort(keys, kind="stable")
+    key, at = keys[order], 0
     filled = np.cumsum(size[order])
     while at < len(order):  # INDEX_BYTES at a time
         upto = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + INDEX_BYTES, side="right"))
         upto = int(np.searchsorted(key, key[min(max(upto, at + 1), len(order)) - 1], side="right"))
         some = order[at:upto]
         spots = _taken(data, start[some], size[some])
-        found[spots] = mark(marks["key"][some], marks["doc"][some], size[some], data[spots])
+        found[spots] = mark(keys[some], marks["doc"][some], size[some], data[spots])
         at = upto
     owner = np.repeat(np.arange(len(size)), size)
     hit = np.flatnonzero(found)
@@ -575,8 +580,8 @@ def _decided(blobs, mark, blocks: int, owners=None) -> list[tuple[int, int, byte
 def _compare_bytes(blocks: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = [rows[rows["kind"] == COVERED]]
-        for kind, mark, owners in ((ASKED, mark_strings, None), (COPIED, mark_copies, followers)):
-            out.append(_frame(_decided(rows["blob"][rows["kind"] == kind], mark, blocks, owners)))
+        for kind, mark in ((ASKED, mark_strings), (COPIED, mark_copies)):
+            out.append(_frame(_decided(rows["blob"][rows["kind"] == kind], mark, blocks, alike=kind == COPIED)))
         return pd.concat(out)
 
     return run
