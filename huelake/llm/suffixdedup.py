@@ -55,6 +55,8 @@ HELD, EACH = 1 << 22, 16
 COVERED, ASKED, CROWDED, COPIED, LEADING = range(5)
 #: Stretches of one anchor, or of one group, that go to one shard together; more are split.
 CROWD = 256
+#: Records from which each byte of them is compressed by itself.
+SEVERAL = 64
 #: Stretches that are compared byte by byte at once.
 COMPARED = 1 << 15
 #: Bytes beside the anchor on the one side or the other that every string holds.
@@ -67,17 +69,31 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD
 
 
 def pack(entries: np.ndarray) -> bytes:
-    """Bytes of a record array, like bytes side by side, compressed; documents and starts as steps, which are short in their order."""
+    """Bytes of a record array, like bytes side by side and compressed by themselves; documents and starts as steps, which are short in their order."""
     steps = entries.copy()
     for name in ("doc", "start"):
         steps[name][1:] -= entries[name][:-1]
-    planes = steps.view(np.uint8).reshape(len(steps), steps.dtype.itemsize).T
-    return len(steps).to_bytes(8, "little") + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    n, planes = len(steps), steps.view(np.uint8).reshape(len(steps), steps.dtype.itemsize).T
+    used = [i for i, p in enumerate(planes) if p.any()] if n >= SEVERAL else []
+    out = [n.to_bytes(8, "little"), sum(1 << i for i in used).to_bytes(8, "little")]
+    for i in used:
+        raw = planes[i].tobytes()
+        small = zstandard.compress(raw, 3)
+        out += [min(len(small), n).to_bytes(4, "little"), small if len(small) < n else raw]
+    return b"".join(out if n >= SEVERAL else [*out, zstandard.compress(planes.tobytes(), 1)])
 
 
 def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(zstandard.decompress(blob[8:]), dtype=np.uint8).reshape(dtype.itemsize, n)
+    n, used = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+    if n < SEVERAL:
+        planes = np.frombuffer(zstandard.decompress(blob[16:]), dtype=np.uint8).reshape(dtype.itemsize, n)
+    else:
+        planes, at = np.zeros((dtype.itemsize, n), dtype=np.uint8), 16
+        for i in (k for k in range(dtype.itemsize) if used >> k & 1):
+            size = int.from_bytes(blob[at : at + 4], "little")
+            raw = blob[at + 4 : at + 4 + size]
+            planes[i] = np.frombuffer(raw if size == n else zstandard.decompress(raw), dtype=np.uint8)
+            at += 4 + size
     out = planes.T.copy().reshape(-1).view(dtype)
     for name in ("doc", "start"):
         out[name] = np.cumsum(out[name], dtype=dtype[name])
@@ -153,8 +169,8 @@ def stretches(data: np.ndarray, first: np.ndarray, length: int = LENGTH, anchor:
 
         left = beside(spot - SIDE, spot - SIDE >= start)
         right = beside(spot + anchor, spot + anchor + SIDE <= stop + length)
-    # 40 bits of the anchor go on, 48 of the bytes and 16 of each side
-    return start, stop - start, key[spot] >> np.uint64(24), hashed >> np.uint64(16), left, right
+    # 40 bits of the anchor go on, 40 of the bytes and 16 of each side
+    return start, stop - start, key[spot] >> np.uint64(24), hashed >> np.uint64(24), left, right
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -436,7 +452,7 @@ def _fetch(shards: int, blocks: int):
             for part, some in _by_part(_shard(marks["key"], shards)):
                 head = pack(marks[some])
                 raw = b"".join(data[a : a + n] for a, n in zip(where[some].tolist(), size[some].tolist()))
-                rows.append((part, to, len(head).to_bytes(8, "little") + head + zstandard.compress(raw, 1)))
+                rows.append((part, to, len(head).to_bytes(8, "little") + head + zstandard.compress(raw, 6)))
         give_back()
         return _frame(rows)
 

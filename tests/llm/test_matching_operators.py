@@ -347,3 +347,14 @@ def test_cut_texts_have_the_same_strings(monkeypatch):
     assert set(whole) == {(d, i) for d, t in enumerate(texts) for i in range(len(t) - 49)}
     monkeypatch.setattr(suffixdedup, "CHUNK", 300)
     assert by_string() == whole
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 1000])
+def test_packed_records_come_back(n):
+    rng = np.random.default_rng(n)
+    for dtype in (suffixdedup.ENTRY, suffixdedup.MARK):
+        records = np.frombuffer(rng.integers(0, 256, n * dtype.itemsize, dtype=np.uint8).tobytes(), dtype=dtype)
+        plain = np.zeros(n, dtype=dtype)
+        plain["start"] = np.arange(n) * 17
+        for x in (records, plain):
+            assert (suffixdedup.unpack(suffixdedup.pack(x), dtype) == x).all()
