@@ -54,7 +54,7 @@ MOST_PARTS = 1 << 18
 HELD, EACH = 1 << 22, 16
 COVERED, ASKED, CROWDED, COPIED, LEADING = range(5)
 #: Stretches of one anchor, or of one group, that go to one shard together; more are split.
-CROWD = 256
+CROWD = 8192
 #: Records from which each byte of them is compressed by itself.
 SEVERAL = 64
 #: Stretches that are compared byte by byte at once.
@@ -452,7 +452,7 @@ def _fetch(shards: int, blocks: int):
             for part, some in _by_part(_shard(marks["key"], shards)):
                 head = pack(marks[some])
                 raw = b"".join(data[a : a + n] for a, n in zip(where[some].tolist(), size[some].tolist()))
-                rows.append((part, to, len(head).to_bytes(8, "little") + head + zstandard.compress(raw, 6)))
+                rows.append((part, to, len(head).to_bytes(8, "little") + head + zstandard.compress(raw, 3)))
         give_back()
         return _frame(rows)
 
