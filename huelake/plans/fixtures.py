@@ -56,18 +56,19 @@ L2 = "(SELECT p_partkey AS palette_idx, p_partkey+1 AS color_id, (p_partkey*73+1
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey < 400").selectExpr("cast(p_partkey + 1 as int) AS id", "concat('colour ', p_partkey) AS xkcd_color", "p_partkey % 11 = 0 AS retired")
+    """A row for each part; some are retired."""
+    return table(spark, sf_dir, "part").selectExpr("cast(p_partkey + 1 as int) AS id", "concat('colour ', p_partkey) AS xkcd_color", "p_partkey % 11 = 0 AS retired")
 
 
-LEDGER = "(SELECT p_partkey + 1 AS id, 'colour ' || p_partkey AS xkcd_color, p_partkey % 11 = 0 AS retired FROM part WHERE p_partkey < 400)"
+LEDGER = "(SELECT p_partkey + 1 AS id, 'colour ' || p_partkey AS xkcd_color, p_partkey % 11 = 0 AS retired FROM part)"
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in use: part of the ledger's, and some new ones."""
-    return table(spark, sf_dir, "part").where("p_partkey >= 50 and p_partkey < 500").selectExpr("p_partkey AS palette_idx", "concat('colour ', p_partkey) AS name")
+    """Names in use, one for each part: 50 places on, so that the ledger's first are used no more and the last are new."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS palette_idx", "concat('colour ', p_partkey + 50) AS name")
 
 
-NAMES = "(SELECT p_partkey AS palette_idx, 'colour ' || p_partkey AS name FROM part WHERE p_partkey >= 50 AND p_partkey < 500)"
+NAMES = "(SELECT p_partkey AS palette_idx, 'colour ' || (p_partkey + 50) AS name FROM part)"
 
 #: Geometry of a frame from a supplier's key; some are wrong on purpose.
 SHAPE = {

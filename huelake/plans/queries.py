@@ -494,7 +494,11 @@ def ledger_reactivated(spark, sf_dir):
 
 def shared_file(spark: SparkSession, name: str) -> str:
     """A new file's path in the shared folder; the driver writes it, so the folder is mounted on the driver."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/huelake"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = "/tmp/checkpoints/huelake"
     if folder.startswith("file:"):
         folder = "/" + folder.removeprefix("file:").lstrip("/")
     if "://" in folder:
@@ -519,10 +523,10 @@ def ledger_scan(spark, sf_dir):
     return typed(led.ledger_scan(spark, f"file://{path}"), **LEDGER)
 
 
-@query(wanted(q.with_lab("(SELECT * EXCLUDE (name), 'colour ' || palette_idx AS name FROM " + fx.L1 + " t WHERE palette_idx < 400)"), **PALETTE))
+@query(wanted(q.with_lab("(SELECT * EXCLUDE (name), 'colour ' || palette_idx AS name FROM " + fx.L1 + " t)"), **PALETTE))
 def palette_build(spark, sf_dir):
     """The full palette from hierarchy rows and the ledger."""
-    rows = fx.palette(spark, sf_dir).where("palette_idx < 400")
+    rows = fx.palette(spark, sf_dir)
     plain = {f"{kind}_{c}": F.col(c) for kind in ("xkcd", "design", "common") for c in "rgb"}
     named = {f"{kind}_{x}": F.concat(F.lit("colour "), F.col("palette_idx")) for kind, x in (("xkcd", "color"), ("design", "color"), ("common", "color"), ("xkcd", "hex"), ("design", "hex"), ("common", "hex"))}
     words = {"color_family": F.concat(F.lit(" "), "family"), "color_type": F.col("kind"), "color_or_neutral": F.when(F.col("is_neutral"), "neutral").otherwise("color")}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     found = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."]]
     if str(ROOT) in found or sc.applicationId in _SHIPPED:
         return
-    path = Path(tempfile.mkdtemp()) / "huelake.zip"
+    folder = tempfile.mkdtemp()  # the driver's own: Spark sends the file to the workers from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "huelake.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted([*ROOT.glob("huelake/**/*.py"), *ROOT.glob("corpus_pipeline.py")]):
             z.write(f, f.relative_to(ROOT))
