@@ -470,11 +470,13 @@ def extract_rgb48_with(spark, sf_dir):
 # ---- ledger ----
 
 LEDGER = dict(id="long", xkcd_color="string", retired="boolean")
+#: The ledger of these queries has a row for each part, and as many ids as its column holds.
+WIDE = (1 << 31) - 1
 
 
 @query(wanted(f"(SELECT n.palette_idx, n.name, coalesce(l.id, m.top + row_number() OVER (PARTITION BY l.id IS NULL ORDER BY n.palette_idx)) AS id FROM {fx.NAMES} n LEFT JOIN {fx.LEDGER} l ON l.xkcd_color = n.name CROSS JOIN (SELECT max(id) AS top FROM {fx.LEDGER} x) m)", palette_idx="long", name="string", id="long"))
 def ledger_resolve(spark, sf_dir):
-    return typed(led.resolve(fx.names(spark, sf_dir), fx.ledger(spark, sf_dir)), palette_idx="long", name="string", id="long")
+    return typed(led.resolve(fx.names(spark, sf_dir), fx.ledger(spark, sf_dir), max_id=WIDE), palette_idx="long", name="string", id="long")
 
 
 @query(wanted(f"(SELECT * FROM {fx.LEDGER} l WHERE NOT EXISTS (SELECT 1 FROM {fx.NAMES} n WHERE n.name = l.xkcd_color))", **LEDGER))
