@@ -513,7 +513,7 @@ def shared_file(spark: SparkSession, name: str) -> str:
 def ledger_sink(spark, sf_dir):
     """A ledger written as a file, staged and renamed, and its rows read back without its rules."""
     path = shared_file(spark, "ledger-sink")
-    led.ledger_sink(fx.ledger(spark, sf_dir), path)
+    led.ledger_sink(fx.ledger(spark, sf_dir), path, WIDE)
     return typed(spark.read.schema(led.SCHEMA).csv(f"file://{path}", header=True, comment="#", multiLine=True, escape='"'), **LEDGER)
 
 

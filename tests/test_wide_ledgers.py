@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from huelake.plans import queries as plans
+from huelake.sources import ledger as led
 
 ROWS = 70_000
 
@@ -32,3 +33,15 @@ def check(spark, folder, name):
 
 def test_resolve(spark, wide):
     assert check(spark, wide, "ledger_resolve") == ROWS
+
+
+def test_sink(spark, wide):
+    assert check(spark, wide, "ledger_sink") == ROWS
+
+
+def test_sink_writes_the_same_bytes_in_pieces(spark, wide, tmp_path):
+    path, ledger = str(tmp_path / "ids.csv"), plans.fx.ledger(spark, wide)
+    with pytest.raises(ValueError, match="65535"):
+        led.ledger_sink(ledger, path)
+    led.ledger_sink(ledger, path, plans.WIDE)
+    assert open(path, newline="").read() == led.to_text(map(tuple, ledger.collect()))
