@@ -521,8 +521,8 @@ def ledger_sink(spark, sf_dir):
 def ledger_scan(spark, sf_dir):
     """A ledger's file read with all its checks."""
     path = shared_file(spark, "ledger-scan")
-    led.ledger_sink(fx.ledger(spark, sf_dir), path)
-    return typed(led.ledger_scan(spark, f"file://{path}"), **LEDGER)
+    led.ledger_sink(fx.ledger(spark, sf_dir), path, WIDE)
+    return typed(led.ledger_scan(spark, f"file://{path}", max_id=WIDE), **LEDGER)
 
 
 @query(wanted(q.with_lab("(SELECT * EXCLUDE (name), 'colour ' || palette_idx AS name FROM " + fx.L1 + " t)"), **PALETTE))

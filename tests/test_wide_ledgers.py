@@ -45,3 +45,7 @@ def test_sink_writes_the_same_bytes_in_pieces(spark, wide, tmp_path):
         led.ledger_sink(ledger, path)
     led.ledger_sink(ledger, path, plans.WIDE)
     assert open(path, newline="").read() == led.to_text(map(tuple, ledger.collect()))
+
+
+def test_scan(spark, wide):
+    assert check(spark, wide, "ledger_scan") == ROWS
