@@ -543,7 +543,7 @@ UNION ALL SELECT id, xkcd_color, true FROM {fx.LEDGER} l WHERE NOT EXISTS (SELEC
 
 @query(wanted(_UPDATED, **LEDGER))
 def ledger_update(spark, sf_dir):
-    return typed(led.update(fx.names(spark, sf_dir), fx.ledger(spark, sf_dir), allow_retire_and_mint=True, allow_revival=True), **LEDGER)
+    return typed(led.update(fx.names(spark, sf_dir), fx.ledger(spark, sf_dir), allow_retire_and_mint=True, allow_revival=True, max_id=WIDE), **LEDGER)
 
 
 #: FNV-1a of 64 bits as a fold over the bytes of all rows, in hexadecimal pairs: two of the id, the name, ff.
