@@ -34,12 +34,12 @@ def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_palette(hierarchy: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The full palette schema. `ledger`: (id, xkcd_color, retired); every name needs its id."""
+    """The full palette schema. `ledger`: (id, xkcd_color, retired); every name needs its id. Only the names' own rows of it are looked at."""
     for column in ("color_family", "color_type"):
         if hierarchy.where(F.trim(F.coalesce(F.col(column), F.lit(""))) == "").limit(1).count():
             raise ValueError(f"empty {column}")
-    ids = bounded(ledger, "a ledger").select(F.col("id").cast("long").alias("color_id"), "xkcd_color")
-    joined = hierarchy.join(F.broadcast(ids), "xkcd_color", "left")
+    used = ledger.join(F.broadcast(bounded(hierarchy).select("xkcd_color").distinct()), "xkcd_color", "left_semi")
+    joined = hierarchy.join(used.select(F.col("id").cast("long").alias("color_id"), "xkcd_color"), "xkcd_color", "left")
     if joined.where("color_id is null").limit(1).count():
         raise ValueError("a colour has no id in the ledger")
     named = joined.select(

@@ -59,3 +59,7 @@ def test_new_names_are_numbered_in_palette_order_over_many_steps(spark):
     names = spark.range(0, 3000, 1, 5).selectExpr("id * 977 - 200000 AS palette_idx", "concat('new ', id) AS name")
     made = led.resolve(names, spark.createDataFrame([(7, "new 2999", False)], led.SCHEMA)).orderBy("palette_idx").collect()
     assert [r.id for r in made] == [*range(8, 8 + 2999), 7]
+
+
+def test_palette(spark, wide):
+    assert check(spark, wide, "palette_build") == 949
