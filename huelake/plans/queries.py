@@ -554,5 +554,5 @@ _FOLD = f"list_reduce(list_prepend(cast(14695981039346656037 AS HUGEINT), {_STEP
 
 @query(f"SELECT '0x' || lower(printf('%08x%08x', cast(v // 4294967296 AS BIGINT), cast(v % 4294967296 AS BIGINT))) AS fingerprint FROM (SELECT {_FOLD} AS v FROM {_BYTES} t) t")
 def assignment_fingerprint(spark, sf_dir):
-    value = led.assignment_fingerprint(fx.ledger(spark, sf_dir))
+    value = led.assignment_fingerprint(fx.ledger(spark, sf_dir), WIDE)
     return spark.createDataFrame([(f"0x{value:016x}",)], "fingerprint string")

@@ -63,3 +63,18 @@ def test_new_names_are_numbered_in_palette_order_over_many_steps(spark):
 
 def test_palette(spark, wide):
     assert check(spark, wide, "palette_build") == 949
+
+
+@pytest.mark.parametrize(("low", "high"), [(0, 300), (65_500, 65_600), (1_048_550, 1_048_601)])
+def test_fingerprint_around_ids_that_need_more_digits(spark, tmp_path, low, high):
+    assert check(spark, parts(spark, tmp_path, low, high), "assignment_fingerprint") == 1
+
+
+def test_fingerprint_of_many_rows(spark, wide):
+    with duckdb.connect() as con:  # the digits as in the SQL, whose fold takes too long here
+        con.sql(f"CREATE VIEW part AS SELECT * FROM '{wide}/part.parquet/*.parquet'")
+        digits = con.sql(plans._BYTES.strip("()")).fetchall()[0][0]
+    value = 14695981039346656037
+    for i in range(0, len(digits) - 1, 2):
+        value = ((value ^ int(digits[i : i + 2], 16)) * 1099511628211) % 2**64
+    assert plans.QUERIES["assignment_fingerprint"](spark, wide).first()[0] == f"0x{value:016x}"
