@@ -45,10 +45,13 @@ LENGTH = 50
 ANCHOR = 16
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
+#: Entries of a shard whose hashes are compared at once.
+ENTRIES = 1 << 19
 #: Bytes of text whose stretches are joined at once.
 PORTION = 1 << 23
-#: Bytes of text in a shard or block.
-PART_BYTES = 1 << 23
+#: Bytes of text in a shard or block. Shards times blocks is the number of blobs, so beyond EVEN bytes
+#: of text parts grow with its square root, up to GROWN times, and blobs with the text.
+PART_BYTES, EVEN, GROWN = 1 << 23, 1 << 30, 4
 MOST_PARTS = 1 << 18
 #: Stretches that a scan task holds before it packs them, so that a shard's share stays longer than its framing.
 HELD, EACH = 1 << 22, 16
@@ -65,6 +68,8 @@ SIDE = (LENGTH - ANCHOR) // 2
 INDEX_BYTES = 1 << 20
 ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
 MARK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
+#: Kept, as making one takes longer than a short blob's compression.
+_QUICK, _TIGHT, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -78,21 +83,21 @@ def pack(entries: np.ndarray) -> bytes:
     out = [n.to_bytes(8, "little"), sum(1 << i for i in used).to_bytes(8, "little")]
     for i in used:
         raw = planes[i].tobytes()
-        small = zstandard.compress(raw, 3)
+        small = _TIGHT.compress(raw)
         out += [min(len(small), n).to_bytes(4, "little"), small if len(small) < n else raw]
-    return b"".join(out if n >= SEVERAL else [*out, zstandard.compress(planes.tobytes(), 1)])
+    return b"".join(out if n >= SEVERAL else [*out, _QUICK.compress(planes.tobytes())])
 
 
 def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     n, used = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
     if n < SEVERAL:
-        planes = np.frombuffer(zstandard.decompress(blob[16:]), dtype=np.uint8).reshape(dtype.itemsize, n)
+        planes = np.frombuffer(_OPEN.decompress(blob[16:]), dtype=np.uint8).reshape(dtype.itemsize, n)
     else:
         planes, at = np.zeros((dtype.itemsize, n), dtype=np.uint8), 16
         for i in (k for k in range(dtype.itemsize) if used >> k & 1):
             size = int.from_bytes(blob[at : at + 4], "little")
             raw = blob[at + 4 : at + 4 + size]
-            planes[i] = np.frombuffer(raw if size == n else zstandard.decompress(raw), dtype=np.uint8)
+            planes[i] = np.frombuffer(raw if size == n else _OPEN.decompress(raw), dtype=np.uint8)
             at += 4 + size
     out = planes.T.copy().reshape(-1).view(dtype)
     for name in ("doc", "start"):
@@ -348,35 +353,44 @@ def _scan(shards: int, blocks: int):
     return run
 
 
+def _candidates(entries: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(kind, marks) of the candidates among stretches, which hold all of their anchors."""
+    order, leader = grouped(entries)
+    some = entries[order]
+    copy = some["doc"] > some["doc"][leader]
+    # groups: the copies, and for each share of CROWD copies the leader again, under a key of the share
+    rank = np.cumsum(copy) - 1
+    share = (rank - rank[leader]) // CROWD if len(some) else rank
+    with np.errstate(over="ignore"):
+        mixed = _mix(some["key"] * _A + some["hash"] * _B + some["left"].astype(np.uint64) * _C)
+        mixed = _mix(mixed + some["right"].astype(np.uint64) * _A + some["more"].astype(np.uint64) * _B + share.astype(np.uint64) * _C) >> np.uint64(16)  # 48 bits
+    at = np.flatnonzero(copy)
+    shares, index = np.unique(mixed[at], return_index=True)
+    copied, leading = _marks(some, at), _marks(some, leader[at[index]])
+    copied["key"], leading["key"] = mixed[at], shares
+    # differing stretches of one anchor: those that share a side with one of another document
+    first = some[~copy]
+    asked = (shared(first, "left") | shared(first, "right")) if len(first) else np.zeros(0, dtype=bool)
+    _, of, times = np.unique(first["key"][asked], return_inverse=True, return_counts=True)
+    crowded = asked.copy()
+    crowded[asked] = times[of] > CROWD if len(times) else False
+    return [(COPIED, copied), (LEADING, leading), (ASKED, _marks(first, asked & ~crowded)), (CROWDED, _marks(first, crowded))]
+
+
 def _compare_hashes(blocks: int):
-    """The candidates among a shard's stretches, as marks to their blocks."""
+    """The candidates among a shard's stretches, as marks to their blocks; of a large shard, some anchors at a time."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         entries = unpack_all(rows["blob"], ENTRY)
-        order, leader = grouped(entries)
-        some = entries[order]
+        turns = -(-len(entries) // ENTRIES)
+        turn = (_mix(entries["key"]) % np.uint64(max(1, turns))).astype(np.uint8)
+        found = [_candidates(entries[turn == i]) for i in range(turns)]
         del entries
-        copy = some["doc"] > some["doc"][leader]
-        # groups: the copies, and for each share of CROWD copies the leader again, under a key of the share
-        rank = np.cumsum(copy) - 1
-        share = (rank - rank[leader]) // CROWD if len(some) else rank
-        with np.errstate(over="ignore"):
-            mixed = _mix(some["key"] * _A + some["hash"] * _B + some["left"].astype(np.uint64) * _C)
-            mixed = _mix(mixed + some["right"].astype(np.uint64) * _A + some["more"].astype(np.uint64) * _B + share.astype(np.uint64) * _C) >> np.uint64(16)  # 48 bits
-        at = np.flatnonzero(copy)
-        shares, index = np.unique(mixed[at], return_index=True)
-        copied, leading = _marks(some, at), _marks(some, leader[at[index]])
-        copied["key"], leading["key"] = mixed[at], shares
-        # differing stretches of one anchor: those that share a side with one of another document
-        first = some[~copy]
-        asked = (shared(first, "left") | shared(first, "right")) if len(first) else np.zeros(0, dtype=bool)
-        _, of, times = np.unique(first["key"][asked], return_inverse=True, return_counts=True)
-        crowded = asked.copy()
-        crowded[asked] = times[of] > CROWD if len(times) else False
         out = []
-        for kind, marks in ((COPIED, copied), (LEADING, leading), (ASKED, _marks(first, asked & ~crowded)), (CROWDED, _marks(first, crowded))):
+        for made in zip(*found):
+            marks = np.concatenate([m for _, m in made])
             marks = marks[np.lexsort((marks["start"], marks["doc"]))]
-            out += _rows(_block(marks["doc"], blocks), kind, marks)
+            out += _rows(_block(marks["doc"], blocks), made[0][0], marks)
         return _frame(out)
 
     return run
@@ -452,7 +466,7 @@ def _fetch(shards: int, blocks: int):
             for part, some in _by_part(_shard(marks["key"], shards)):
                 head = pack(marks[some])
                 raw = b"".join(data[a : a + n] for a, n in zip(where[some].tolist(), size[some].tolist()))
-                rows.append((part, to, len(head).to_bytes(8, "little") + head + zstandard.compress(raw, 3)))
+                rows.append((part, to, len(head).to_bytes(8, "little") + head + _TIGHT.compress(raw)))
         give_back()
         return _frame(rows)
 
@@ -465,7 +479,7 @@ def _opened(blobs) -> tuple[np.ndarray, np.ndarray, bytes]:
     for blob in blobs:
         n = int.from_bytes(blob[:8], "little")
         marks.append(unpack(blob[8 : 8 + n], MARK))
-        raw.append(zstandard.decompress(blob[8 + n :]))
+        raw.append(_OPEN.decompress(blob[8 + n :]))
     every = np.concatenate(marks)
     return every, every["more"].astype(np.int64) + LENGTH, b"".join(raw)
 
@@ -479,6 +493,8 @@ def mark_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
     """For each byte of the stretches: does a string that starts there occur in a smaller document's stretch of the same key?
 
     Halves the stretches of each key by document; all keys' halves of one level share one index.
+    A string's first occurrence is never found, so stretches of which every string is found are
+    needed no more: what still matches them matches the first as well.
     """
     start = np.cumsum(size) - size
     order = np.lexsort((doc, key))
@@ -495,10 +511,12 @@ def mark_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
     group[order] = np.cumsum(new) - 1
     highest = np.zeros(len(heads), dtype=np.int64)
     np.maximum.at(highest, group, rank)
+    strings = size - length + 1
+    left = strings > 0
     while (1 << level) <= int(rank.max(initial=0)):
         half = rank >> level
-        later = half % 2 == 1
-        earlier = ~later & (highest[group] >> level > half)
+        later = (half % 2 == 1) & left
+        earlier = (half % 2 == 0) & left & (highest[group] >> level > half)
         # symbols of different pairs of halves differ, so that no later document is matched
         symbols = (half >> 1)[:, None]
         if later.any() and earlier.any():
@@ -511,6 +529,8 @@ def mark_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
             index = RunLengthIndex(texts, n)
             patterns, n, spots = take(np.flatnonzero(later))
             found[spots[index.matching_statistics(patterns, n) >= length]] = True
+            sums = np.concatenate(([0], np.cumsum(found)))
+            left &= sums[start + size] - sums[start] < strings
         level += 1
     return found
 
@@ -635,15 +655,20 @@ def _finish(key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
+def number_of_parts(total: int, part_bytes: int = PART_BYTES) -> int:
+    grown = int(part_bytes * min(max(1.0, (total / EVEN) ** 0.5), GROWN))
+    return min(max(1, -(-total // grown)), MOST_PARTS) | 1
+
+
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """RESULT of each document. The text is read twice and shuffled once, by block of documents.
 
-    `part_bytes` is the text of a shard or block; beyond MOST_PARTS of them they grow.
+    `part_bytes` is the text of a shard or block; beyond EVEN bytes of text and MOST_PARTS of them they grow.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(max(1, -(-total // part_bytes)), MOST_PARTS) | 1
+    parts = number_of_parts(total, part_bytes)
     slot = slots(spark, parts)
 
     def dealt(df: DataFrame) -> DataFrame:
