@@ -43,8 +43,8 @@ from .rindex import RunLengthIndex
 
 LENGTH = 50
 ANCHOR = 16
-#: Bytes that are hashed at once.
-CHUNK = 1 << 20
+#: Bytes that are hashed at once; so few that their arrays stay in a core's cache.
+CHUNK = 1 << 17
 #: Entries of a shard whose hashes are compared at once.
 ENTRIES = 1 << 19
 #: Bytes of text whose stretches are joined at once.
